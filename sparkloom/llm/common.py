@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 #: Text handled at once inside a Python worker; a single longer document is handled whole.
 CHUNK_BYTES = 2 << 20
+HASH_BLOCK = 1 << 19
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -97,7 +98,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 16), np.uint64(base))
+        x = np.full(max(n, 2 * HASH_BLOCK), np.uint64(base))
         x[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(x)
     return have
@@ -129,14 +130,20 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = _IS_WOR
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs, by one prefix sum of a polynomial over the whole buffer."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(raw)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(_BASE, n)[:n], out=c[1:])
-    h = (c[ends] - c[starts]) * _powers(_INV, n)[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    """64-bit hashes of the byte runs (in order of their starts), by prefix sums of a polynomial over blocks of the buffer."""
+    out = np.zeros(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        at = int(starts[k])
+        m = int(np.searchsorted(starts, at + HASH_BLOCK, "left"))
+        s, e = starts[k:m] - at, ends[k:m] - at
+        n = int(e[-1])
+        c = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw[at : at + n]] * _powers(_BASE, n)[:n], out=c[1:])
+        h = (c[e] - c[s]) * _powers(_INV, int(s[-1]) + 1)[s]
+        out[k:m] = mix64(h ^ ((e - s).astype(np.uint64) << np.uint64(56)))
+        k = m
+    return out
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

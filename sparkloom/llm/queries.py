@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, mixing, sharding, urlfilter
+from sparkloom.llm import decontam, exact_dedup, mixing, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontam.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -28,8 +32,8 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op6_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op6_url_filter": urlfilter.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.oracle(), "op10_mixing": mixing.ORACLE}
