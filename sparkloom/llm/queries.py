@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontam, exact_dedup, mixing, sharding, urlfilter
+from sparkloom.llm import decontam, exact_dedup, mixing, ngram_join, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +27,17 @@ def op6_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op9_ngram_join, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.oracle(), "op10_mixing": mixing.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.oracle(), "op9_ngram_join": ngram_join.ORACLE, "op10_mixing": mixing.ORACLE}
