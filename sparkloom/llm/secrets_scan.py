@@ -1,9 +1,9 @@
-"""Secret scan by one combined deterministic automaton.
+r"""Secret scan by one combined deterministic automaton.
 
 The rules' regular expressions are parsed into one nondeterministic automaton over bytes. Subset construction and
 minimisation (partition refinement, with the set of rules that end as a state's mark) give one transition array over
 byte classes, which is stepped once through all bytes of many documents at a time, side by side. Where some rule
-ends, the start is found with that rule's own reversed automaton. Matches are leftmost-longest, without overlap per rule.
+ends, that rule's own reversed automaton finds all starts by one pass back. Matches are leftmost-longest, without overlap per rule.
 
 A match begins at the text's start or after a byte outside INNER. As the rules' tails consist of INNER bytes, no rule
 starts inside another's tail at another offset, which keeps the subset construction from multiplying their counters.
@@ -14,12 +14,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.common import doc_chunks, string_buffers
 
-#: Literals, [classes], (a|b), ?, *, +, {m}, {m,n}, \d \w \s and escapes; bytes of ASCII. All rules have a bounded or greedy tail.
+#: Literals, [classes], (a|b), ?, *, +, {m}, {m,n}, escapes and the classes d, w and s; bytes of ASCII. All rules have a bounded or greedy tail.
 RULES = {
     "aws_access_key": r"(AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": r"gh[pousr]_[0-9A-Za-z]{36}",
@@ -188,10 +187,10 @@ class NFA:
 class DFA:
     """Minimal automaton: step[state * classes + class_of[byte]], mark[state] a bit set of the rules that end there.
 
-    searching: a match may begin at the first byte and after any outside INNER; else at the first only.
+    A match may begin at the first byte and after any byte of restart.
     """
 
-    def __init__(self, trees: list, searching: bool):
+    def __init__(self, trees: list, restart: frozenset = frozenset()):
         nfa = NFA()
         start = nfa.state()
         ends: dict[int, int] = {}
@@ -200,9 +199,9 @@ class DFA:
             nfa.eps[start].append(s)
             ends.setdefault(nfa.add(tree, s), k)
         # byte classes: bytes that every set treats alike
-        sets = sorted({o[0] for o in nfa.on if o} | {INNER}, key=sorted)
+        sets = sorted({o[0] for o in nfa.on if o} | {INNER, restart}, key=sorted)
         sig: dict[tuple, int] = {}
-        self.class_of = np.array([sig.setdefault(tuple(b in s for s in sets), len(sig)) for b in range(256)], np.uint8)
+        self.class_of = np.array([sig.setdefault(tuple(b in s for s in sets), len(sig)) for b in range(256)], np.int32)
         some = {c: next(b for b in range(256) if self.class_of[b] == c) for c in range(len(sig))}
         first = nfa.closure([start])
         number, todo, step, mark = {first: 0}, [first], [], []
@@ -212,7 +211,7 @@ class DFA:
             row = []
             for c in range(len(sig)):
                 to = {nfa.on[s][1] for s in now if nfa.on[s] and some[c] in nfa.on[s][0]}
-                nxt = nfa.closure(to) | first if searching and some[c] not in INNER else nfa.closure(to)
+                nxt = nfa.closure(to) | first if some[c] in restart else nfa.closure(to)
                 if nxt not in number:
                     number[nxt] = len(number)
                     todo.append(nxt)
@@ -243,9 +242,9 @@ class Scanner:
     def __init__(self, rules: dict[str, str] = RULES):
         self.names = list(rules)
         trees = [parse(r) for r in rules.values()]
-        self.all = DFA(trees, True)
-        self.one = [DFA([t], False) for t in trees]
-        self.back = [DFA([reverse(t)], False) for t in trees]
+        self.all = DFA(trees, ALL - INNER)
+        self.one = [DFA([t]) for t in trees]
+        self.back = [DFA([reverse(t)], ALL) for t in trees]
 
     def ends(self, raw: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
         """(positions after the last byte, rule sets) of everything that ends somewhere, by one pass over all bytes."""
@@ -295,21 +294,20 @@ class Scanner:
         if not len(ends):
             return []
         doc = np.searchsorted(offsets, ends - 1, "right") - 1
-        found: dict[tuple[int, int], set[int]] = {}
+        last: dict[tuple[int, int], int] = {}
         for e, m, d in zip(ends.tolist(), marks.tolist(), doc.tolist()):
-            lo, k = int(offsets[d]), 0
-            while m:
-                if m & 1:
-                    # every start of a match of rule k that ends here
-                    back, s = self.back[k], 0
-                    for i in range(e - 1, lo - 1, -1):
-                        s = int(back.step[s + back.class_of[raw[i]]])
-                        if back.mark[s // back.classes] and (i == lo or raw[i - 1] not in INNER):
-                            found.setdefault((d, k), set()).add(i)
-                        elif self._dead(back, s):
-                            break
-                m >>= 1
-                k += 1
+            for k in range(len(self.names)):
+                if m >> k & 1:
+                    last[d, k] = max(e, last.get((d, k), 0))
+        found: dict[tuple[int, int], list[int]] = {}
+        for (d, k), e in last.items():
+            back, s, lo = self.back[k], 0, int(offsets[d])
+            text = raw[lo:e].tobytes()
+            step, mark, cls = back.step.tolist(), back.mark.tolist(), back.class_of.tolist()
+            for i in range(len(text) - 1, -1, -1):
+                s = step[s + cls[text[i]]]
+                if mark[s // back.classes] and (i == 0 or text[i - 1] not in INNER):
+                    found.setdefault((d, k), []).append(lo + i)
         out = []
         for (d, k), starts in sorted(found.items()):
             one, hi, upto = self.one[k], int(offsets[d + 1]), -1
@@ -355,4 +353,4 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-__all__ = ["DFA", "F", "RULES", "Scanner", "find_secrets", "parse", "reverse"]
+__all__ = ["DFA", "RULES", "Scanner", "find_secrets", "parse", "reverse"]
