@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontam, exact_dedup, mixing, ngram_join, secrets_scan, sharding, urlfilter
+from sparkloom.llm import decontam, exact_dedup, mixing, ngram_join, secrets_scan, sharding, token_coder, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op7_token_blocks(spark, sf_dir):
+    return token_coder.token_blocks(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark, sf_dir):
     return secrets_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op8_secrets, op9_ngram_join, op10_mixing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op7_token_blocks, op8_secrets, op9_ngram_join, op10_mixing)}
 
 
 def oracle_sql():
