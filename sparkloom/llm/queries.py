@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontam, exact_dedup, mixing, ngram_join, quality, secrets_scan, sharding, token_coder, urlfilter
+from sparkloom.llm import decontam, exact_dedup, language_model, mixing, ngram_join, quality, secrets_scan, sharding, token_coder, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark, sf_dir):
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality, op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op7_token_blocks, op8_secrets, op9_ngram_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_model, op2_quality, op3_exact_dedup, op4_sharding, op5_decontamination, op6_url_filter, op7_token_blocks, op8_secrets, op9_ngram_join, op10_mixing)}
 
 
 def oracle_sql():
