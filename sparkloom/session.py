@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -21,3 +23,30 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(shutil.make_archive(str(work / root.name), "zip", work / "src", root.name))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loom-"))
+        root = context.getCheckpointDir().get()
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes df once as a table in the shared folder and reads it again, which ends its lineage."""
+    path = f"{scratch(df.sparkSession)}/loom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Estimated bytes up to which a counted side is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if its counted rows are few, else as it is. df should be cheap to count, as a stored table is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
