@@ -18,6 +18,8 @@ from sparkloom.schema import CALLABLE
 from sparkloom.session import small, stored
 
 USES = ("calls", "references")
+#: Hops of a label between two writes, where the levels don't matter.
+HOPS = 3
 
 
 def adjacency(edges: DataFrame, direction: str = "out", kinds: Sequence[str] | None = None) -> DataFrame:
@@ -94,7 +96,7 @@ def depth_first(edges: DataFrame, start: str, max_depth: int, direction: str = "
         return pd.DataFrame(out, columns=["id", "depth", "position"])
 
     rows = inside.unionByName(edges.sparkSession.createDataFrame([(start, None)], "a string, b string"))
-    return rows.groupBy(F.lit(0)).applyInPandas(lambda pdf: walk(pdf.dropna()), "id string, depth int, position int")
+    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: walk(pdf.dropna()), "id string, depth int, position int")
 
 
 def paths_from(edges: DataFrame, start: str, max_nodes: int = 20, kinds: Sequence[str] | None = None) -> DataFrame:
@@ -147,10 +149,13 @@ def strong_components(edges: DataFrame, kinds: Sequence[str] = ("imports", "call
     while not adj.isEmpty():
         colour = stored(adj.select(F.col("a").alias("id")).union(adj.select("b")).distinct().select("id", F.col("id").alias("colour")), "colour")
         while True:
-            got = adj.join(colour, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("_c"))
-            nxt = stored(colour.join(got, "id", "left").select("id", F.least("colour", "_c").alias("colour"), (F.col("_c") < F.col("colour")).alias("changed")), "colour")
-            moved = not nxt.where("changed").isEmpty()
-            colour = nxt.select("id", "colour")
+            nxt = colour
+            for _ in range(HOPS):
+                got = adj.join(nxt, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("_c"))
+                nxt = nxt.join(got, "id", "left").select("id", F.least("colour", "_c").alias("colour"))
+            nxt = stored(nxt, "colour")
+            moved = not nxt.join(colour, ["id", "colour"], "left_anti").isEmpty()
+            colour = nxt
             if not moved:
                 break
         same = adj.join(colour.select(F.col("id").alias("a"), F.col("colour").alias("_ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("colour").alias("_cb")), "b").where("_ca = _cb")
