@@ -20,6 +20,8 @@ from sparkloom.session import small, stored
 USES = ("calls", "references")
 #: Hops of a label between two writes, where the levels don't matter.
 HOPS = 3
+#: Levels after which what has been seen is written as one table.
+COMPACT = 8
 
 
 def adjacency(edges: DataFrame, direction: str = "out", kinds: Sequence[str] | None = None) -> DataFrame:
@@ -51,9 +53,22 @@ def reach(adj: DataFrame, starts: DataFrame, max_depth: int | None = None, paren
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+        if depth % COMPACT == 0:
+            seen = stored(seen, "seen")
     return seen
 
 
+def closure(adj: DataFrame, starts: DataFrame) -> DataFrame:
+    """(root, id) of everything that (root, id) of starts lead to, themselves included; HOPS hops between two writes."""
+    now, n = stored(starts.select("root", "id").distinct(), "closure"), -1
+    while (count := now.count()) != n:
+        nxt, n = now, count
+        for _ in range(HOPS):
+            nxt = nxt.unionByName(nxt.join(adj, F.col("id") == F.col("a")).select("root", F.col("b").alias("id"))).distinct()
+        now = stored(nxt, "closure")
+    return now
+
+
 def from_one(spark, node: str) -> DataFrame:
     return spark.createDataFrame([(node, node)], "root string, id string")
 
@@ -160,7 +175,8 @@ def strong_components(edges: DataFrame, kinds: Sequence[str] = ("imports", "call
                 break
         same = adj.join(colour.select(F.col("id").alias("a"), F.col("colour").alias("_ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("colour").alias("_cb")), "b").where("_ca = _cb")
         roots = colour.where("id = colour").select(F.col("id").alias("root"), "id")
-        found = stored(reach(same.select(F.col("b").alias("a"), F.col("a").alias("b")), roots).select("id", F.col("root").alias("component")), "component")
+        back = stored(same.select(F.col("b").alias("a"), F.col("a").alias("b")), "back")
+        found = closure(back, roots).select("id", F.col("root").alias("component"))
         done = found if done is None else done.unionByName(found)
         rest = adj.join(found.select(F.col("id").alias("a")), "a", "left_anti").join(found.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
         adj = _trimmed(stored(rest, "rest"))
