@@ -185,8 +185,8 @@ def _scored(docs: DataFrame, net: Net, columns: list[str], keep: float | None) -
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, quality (the probability of a good document) and keep, for every row of docs.
 
-    A null or empty text is one chunk of padding: it is scored like any other. Repeated rows get equal scores, a null
-    doc_id is kept as it is and never fitted, other columns are ignored. Without any labelled text the untrained
+    A null or empty text is one chunk of padding: it is scored like any other. Repeated rows get equal scores (up to
+    the rounding of 32-bit sums), a null doc_id is kept as it is and never fitted, other columns are ignored. Without any labelled text the untrained
     network would decide, so every row gets quality null and is kept. An empty table gives no rows.
     """
     texts, good = sample(docs, labels, train_docs)
