@@ -26,7 +26,9 @@ from sparkloom.llm.common import doc_chunks, stored, string_buffers, words_of
 VOCAB, CLASSES, UNITS, WINDOW = 2048, 46, 24, 16
 #: One document in so many is trained on, in each of ROUNDS disjoint parts.
 SHARE, ROUNDS = 8, 2
-LANES, TRAIN_LANES, RATE, SEED = 1024, 64, 0.3, 11
+LANES, TRAIN_LANES, RATE, SEED = 1024, 128, 0.3, 11
+#: Words that are laid out in lanes at once, at least one document's.
+SCORE_WORDS = 3 << 20
 #: Copies that one task averages.
 FAN_IN = 32
 
@@ -394,11 +396,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
         model = Model(voc).load(flat)
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
-            ids, first, spelled = _encoded(voc, raw, offsets)
-            n = np.diff(first)
-            unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-            ll = log_likelihoods(model, ids, first) + spelled
-            per = np.exp(np.minimum(-ll / np.maximum(n, 1), 700))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(unknown[first[1:]] - unknown[first[:-1]], pa.int64()), pa.array(ll), pa.array(per, mask=n == 0)], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
+            parts, held, since = [], 0, 0
+            for a, b in doc_chunks(offsets):
+                parts.append(_encoded(voc, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                held += len(parts[-1][0])
+                if held < SCORE_WORDS and b < batch.num_rows:
+                    continue
+                ids = np.concatenate([p[0] for p in parts])
+                n = np.concatenate([np.diff(p[1]) for p in parts])
+                first = np.concatenate([[0], np.cumsum(n)])
+                unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+                ll = log_likelihoods(model, ids, first) + np.concatenate([p[2] for p in parts])
+                per = np.exp(np.minimum(-ll / np.maximum(n, 1), 700))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(since, b - since), pa.array(n, pa.int64()), pa.array(unknown[first[1:]] - unknown[first[:-1]], pa.int64()), pa.array(ll), pa.array(per, mask=n == 0)], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
+                parts, held, since = [], 0, b
 
     return docs.mapInArrow(run, "doc_id long, n_words long, n_unknown long, log_likelihood double, perplexity double")
