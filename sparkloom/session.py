@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch between the JVM and Python: whole texts come in batches of even size, however long they are.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, once per application."""
+    """Sends the package to the executors, once per application, and sets the size of the batches that it gets there."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         work = Path(tempfile.mkdtemp(prefix="loom-ship-"))
