@@ -394,21 +394,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         voc, flat = now.value
         model = Model(voc).load(flat)
+        parts: list[tuple] = []
+
+        def scored():
+            ids, n, spelled = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            first = np.concatenate([[0], np.cumsum(n)])
+            unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+            ll = log_likelihoods(model, ids, first) + spelled
+            per = np.exp(np.minimum(-ll / np.maximum(n, 1), 700))
+            names = pa.concat_arrays([p[3] for p in parts])
+            parts.clear()
+            return pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(unknown[first[1:]] - unknown[first[:-1]], pa.int64()), pa.array(ll), pa.array(per, mask=n == 0)], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
+
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
-            parts, held, since = [], 0, 0
             for a, b in doc_chunks(offsets):
-                parts.append(_encoded(voc, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                held += len(parts[-1][0])
-                if held < SCORE_WORDS and b < batch.num_rows:
-                    continue
-                ids = np.concatenate([p[0] for p in parts])
-                n = np.concatenate([np.diff(p[1]) for p in parts])
-                first = np.concatenate([[0], np.cumsum(n)])
-                unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-                ll = log_likelihoods(model, ids, first) + np.concatenate([p[2] for p in parts])
-                per = np.exp(np.minimum(-ll / np.maximum(n, 1), 700))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(since, b - since), pa.array(n, pa.int64()), pa.array(unknown[first[1:]] - unknown[first[:-1]], pa.int64()), pa.array(ll), pa.array(per, mask=n == 0)], names=["doc_id", "n_words", "n_unknown", "log_likelihood", "perplexity"])
-                parts, held, since = [], 0, b
+                ids, first, spelled = _encoded(voc, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                parts.append((ids, np.diff(first), spelled, batch.column(0).slice(a, b - a)))
+                if sum(len(p[0]) for p in parts) >= SCORE_WORDS:
+                    yield scored()
+        if parts:
+            yield scored()
 
     return docs.mapInArrow(run, "doc_id long, n_words long, n_unknown long, log_likelihood double, perplexity double")
