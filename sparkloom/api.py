@@ -20,7 +20,7 @@ from sparkloom.store import GraphStore, with_ids
 FOLDER = ".sparkloom"
 
 
-class CodeGraph:
+class ProjectGraph:
     """init() and open() give one; the graph is kept in the project's own folder unless another is named."""
 
     def __init__(self, spark: SparkSession, root: str, store: GraphStore, options: scan.ScanOptions | None = None):
@@ -34,11 +34,11 @@ class CodeGraph:
         return folder or f"{str(root).rstrip('/')}/{FOLDER}"
 
     @classmethod
-    def init(cls, spark: SparkSession, root: str, folder: str | None = None, options: scan.ScanOptions | None = None) -> CodeGraph:
+    def init(cls, spark: SparkSession, root: str, folder: str | None = None, options: scan.ScanOptions | None = None) -> ProjectGraph:
         return cls(spark, root, GraphStore.create(spark, cls._folder(root, folder)), options)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, folder: str | None = None, options: scan.ScanOptions | None = None) -> CodeGraph:
+    def open(cls, spark: SparkSession, root: str, folder: str | None = None, options: scan.ScanOptions | None = None) -> ProjectGraph:
         return cls(spark, root, GraphStore.open(spark, cls._folder(root, folder)), options)
 
     @classmethod

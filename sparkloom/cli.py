@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.api import CodeGraph
+from sparkloom.api import ProjectGraph
 from sparkloom.errors import LoomError
 from sparkloom.operators import aggregates, lookups
 
@@ -57,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def answer(g: CodeGraph, a: argparse.Namespace) -> DataFrame | dict:
+def answer(g: ProjectGraph, a: argparse.Namespace) -> DataFrame | dict:
     """The result of a command that has an open graph."""
     if a.command in ("index", "sync"):
         return g.sync(rebuild=getattr(a, "force", False))
@@ -100,9 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     spark = spark or SparkSession.builder.appName("sparkloom").config("spark.ui.enabled", "false").getOrCreate()
     try:
         if a.command == "init":
-            print(shown(CodeGraph.init(spark, a.root, a.folder).index_all(), a.json), file=out)
+            print(shown(ProjectGraph.init(spark, a.root, a.folder).index_all(), a.json), file=out)
             return 0
-        g = CodeGraph.open(spark, a.root, a.folder)
+        g = ProjectGraph.open(spark, a.root, a.folder)
         if a.command == "uninit":
             g.uninitialize()
         elif a.command == "serve":

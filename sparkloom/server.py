@@ -6,7 +6,7 @@ import json
 from argparse import Namespace
 from typing import TextIO
 
-from sparkloom.api import CodeGraph
+from sparkloom.api import ProjectGraph
 from sparkloom.cli import answer, shown
 from sparkloom.errors import LoomError
 
@@ -25,7 +25,7 @@ TOOLS = {
 _USUAL = {"kind": [], "lang": [], "path": [], "mode": "text", "limit": 20, "depth": 1, "prefix": "", "ext": [], "dirs": False}
 
 
-def call(g: CodeGraph, tool: str, given: dict) -> str:
+def call(g: ProjectGraph, tool: str, given: dict) -> str:
     if tool not in TOOLS:
         raise LoomError(f"no tool {tool}")
     if missing := [k for k in TOOLS[tool][2] if k not in given]:
@@ -35,7 +35,7 @@ def call(g: CodeGraph, tool: str, given: dict) -> str:
     return shown(answer(g, Namespace(command=command, words=str(given.get("query", "")).split(), **args)), True)
 
 
-def reply(g: CodeGraph, message: dict) -> dict | None:
+def reply(g: ProjectGraph, message: dict) -> dict | None:
     """The answer to one message, none for a notification."""
     method, params = message.get("method"), message.get("params") or {}
     if "id" not in message:
@@ -55,7 +55,7 @@ def reply(g: CodeGraph, message: dict) -> dict | None:
     return out | {"error": {"code": -32601, "message": f"no method {method}"}}
 
 
-def serve(g: CodeGraph, lines: TextIO, out: TextIO) -> None:
+def serve(g: ProjectGraph, lines: TextIO, out: TextIO) -> None:
     for line in lines:
         if not line.strip():
             continue

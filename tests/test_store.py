@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import cli, server
-from sparkloom.api import CodeGraph
+from sparkloom.api import ProjectGraph
 from sparkloom.errors import LoomError, NotInitialized, UnsafeRoot
 from sparkloom.sources import scan
 from sparkloom.store import GraphStore
@@ -30,7 +30,7 @@ def edges(g, kind="calls"):
 
 
 def test_index_and_sync(spark, tree, tmp_path):
-    g = CodeGraph.init(spark, tree, f"{tmp_path}/graph")
+    g = ProjectGraph.init(spark, tree, f"{tmp_path}/graph")
     assert g.index_all() == {"added": 5, "modified": 0, "removed": 0, "unchanged": 0}
     assert {("run", "greet"), ("compute", "add"), ("start", "go")} <= edges(g)
     assert g.edges.where("kind = 'calls' AND source LIKE '%start'").first().target == "function:pkg/algo_a.py::go"
@@ -76,16 +76,16 @@ def test_index_and_sync(spark, tree, tmp_path):
     assert got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601 and got[None]["error"]["code"] == -32700 and "risk" in got[7]["result"]["content"][0]["text"]
 
     g.uninitialize()
-    assert not CodeGraph.is_initialized(spark, tree, f"{tmp_path}/graph")
+    assert not ProjectGraph.is_initialized(spark, tree, f"{tmp_path}/graph")
     with pytest.raises(NotInitialized):
-        CodeGraph.open(spark, tree, f"{tmp_path}/graph")
+        ProjectGraph.open(spark, tree, f"{tmp_path}/graph")
 
 
 def test_counts_of_a_larger_sync(spark, tmp_path):
     root = tmp_path / "many"
     for i in range(30):
         write(root, **{f"m{i}_py": f"def f{i}():\n    return {i}\n"})
-    g = CodeGraph.init(spark, root, f"{tmp_path}/g")
+    g = ProjectGraph.init(spark, root, f"{tmp_path}/g")
     assert g.index_all()["added"] == 30
     for i in range(30, 50):
         write(root, **{f"m{i}_py": f"def f{i}():\n    return f{i - 1}()\n"})
