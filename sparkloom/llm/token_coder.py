@@ -92,12 +92,14 @@ class Tokenizer:
         starts = np.flatnonzero(cut[:-1])
         ends = np.concatenate([starts[1:], [len(raw)]])
         keys = span_hashes(raw, starts, ends)
-        distinct, first = np.unique(keys, return_index=True)
-        fresh = ~np.isin(distinct, self.keys, assume_unique=True)
-        if fresh.any():
-            data = raw.tobytes()
-            self._learn(distinct[fresh], [data[a:b].decode() for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())])
-        at = np.searchsorted(self.keys, keys)
+        distinct, which = np.unique(keys, return_inverse=True)
+        fresh = np.flatnonzero(~np.isin(distinct, self.keys, assume_unique=True))
+        if len(fresh):
+            some = np.empty(len(distinct), np.int64)
+            some[which] = np.arange(len(keys))  # where a distinct piece stands
+            data, some = raw.tobytes(), some[fresh]
+            self._learn(distinct[fresh], [data[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+        at = np.searchsorted(self.keys, distinct)[which]
         size = np.diff(self.begin)[at]
         ids = self.ids[_ranges(self.begin[at], size)]
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -176,7 +178,7 @@ def intervals(x: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     pair = s2 * STATES + s1
     event = pair * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
     counts = _START.copy()
-    freq = np.ones(n_ids, np.int64)
+    freq, upto = np.ones(n_ids, np.int64), np.zeros(n_ids + 1, np.int64)
     begin, width = np.empty(n, np.int64), np.empty(n, np.int64)
     at = refreshes(n)
     for a, b in zip(at, at[1:]):
@@ -184,13 +186,13 @@ def intervals(x: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
         p, s = pair[a:b], wide[a:b]
         m2, m1 = np.where(g2[a:b] >= 0, w2[p], 0), np.where(g1[a:b] >= 0, w1[p], 0)
         w0 = TOTAL - m2 - m1
-        upto = np.concatenate([[0], np.cumsum(freq)])
+        np.cumsum(freq, out=upto[1:])
         total = int(upto[-1])
         lo = upto[s] * w0 // total
         begin[a:b] = lo + np.where(g2[a:b] < s, m2, 0) + np.where(g1[a:b] < s, m1, 0)
         width[a:b] = upto[s + 1] * w0 // total - lo + np.where(hit2[a:b], m2, 0) + np.where(hit1[a:b], m1, 0)
         counts += np.bincount(event[a:b], minlength=STATES * STATES * 3).reshape(-1, 3)
-        np.add.at(freq, s, GAIN) if b - a < 256 else freq.__iadd__(GAIN * np.bincount(s, minlength=n_ids))
+        np.add.at(freq, s, GAIN)
     return begin, width
 
 
