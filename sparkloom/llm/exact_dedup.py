@@ -20,7 +20,10 @@ from pyspark.sql.window import Window as W
 
 from sparkloom.llm.common import drop_stored, stored
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 1024
+#: Rows that are sampled, for each partition to come, to find the borders of the ranges. They go to the driver with whole
+#: blocks; Spark's usual hundred would take gigabytes there for a large corpus. Uneven ranges cost time, never results.
+SAMPLED = 20
 
 
 def named(df: DataFrame, by: list[str], keep: list[str], tag: str) -> DataFrame:
@@ -61,7 +64,13 @@ def named(df: DataFrame, by: list[str], keep: list[str], tag: str) -> DataFrame:
             row |= {f"_first_{b}": pa.array([v.as_py()], v.type) for b, v in zip(by, first)} | {f"_last_{b}": pa.array([v.as_py()], v.type) for b, v in zip(by, last)}
             yield pa.RecordBatch.from_pydict({f.name: row[f.name] for f in schema})
 
-    table = stored(ranged.mapInArrow(rank, out), tag)
+    spark, key = df.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, SAMPLED)
+    try:
+        table = stored(ranged.mapInArrow(rank, out), tag)
+    finally:
+        spark.conf.set(key, usual)
     edges = table.where("_part < 0").select((-1 - F.col("_part")).alias("_part"), "_rank", *(f"_{e}_{b}" for e in ("first", "last") for b in by))
     # One row a partition: this window and the broadcast grow with the number of partitions only.
     by_part = W.orderBy("_part")
