@@ -619,8 +619,7 @@ o AS (SELECT * FROM g_edges WHERE source IN (SELECT id FROM roots)), n AS (SELEC
 SELECT 'nodes' AS metric, count(*) AS n FROM n UNION ALL SELECT 'edges', count(*) FROM (SELECT source, target, kind FROM o UNION SELECT source, target, kind FROM g_edges WHERE target IN (SELECT id FROM roots))
 UNION ALL SELECT 'files', count(DISTINCT file_path) FROM g_nodes WHERE id IN (SELECT id FROM n)""")
 def q_task_context(g):
-    found = search.bm25(g.nodes, list(search.COLUMNS), WORDS).count()
-    return context.task_stats(g.nodes, g.edges, "red ring", max(1, found))
+    return context.stats(*context.around(g.nodes, g.edges, stored(search.bm25(g.nodes, list(search.COLUMNS), WORDS).select("id"), "roots")))
 
 
 # ---- resolution ----

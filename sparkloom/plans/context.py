@@ -36,20 +36,24 @@ def focal(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 3) -> Data
     return out.join(nodes.select("id"), "id", "left_semi").select("section", "id", "detail").distinct()
 
 
+def around(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the roots and their outgoing neighbours; all edges at the roots, each (source, target, kind) once."""
+    roots = roots.select("id").distinct()
+    out = edges.join(roots.withColumnRenamed("id", "source"), "source", "left_semi")
+    back = edges.join(roots.withColumnRenamed("id", "target"), "target", "left_semi")
+    found = out.select("source", "target", "kind").unionByName(back.select("source", "target", "kind")).distinct()
+    return nodes.join(roots.union(out.select("target")).distinct(), "id", "left_semi"), found
+
+
 def task(nodes: DataFrame, edges: DataFrame, query: str, roots: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) around the best found: their outgoing neighbours, and all edges at them, each (source, target, kind) once."""
-    best = stored(search.search(nodes, query, roots).select("id"), "roots")
-    out = edges.join(best.withColumnRenamed("id", "source"), "source", "left_semi")
-    back = edges.join(best.withColumnRenamed("id", "target"), "target", "left_semi")
-    around = out.select("source", "target", "kind").unionByName(back.select("source", "target", "kind")).distinct()
-    ids = best.union(out.select("target")).distinct()
-    return nodes.join(ids, "id", "left_semi"), around
+    """What is around the best found symbols."""
+    return around(nodes, edges, stored(search.search(nodes, query, roots).select("id"), "roots"))
 
 
-def task_stats(nodes: DataFrame, edges: DataFrame, query: str, roots: int = 5) -> DataFrame:
-    n, e = task(nodes, edges, query, roots)
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """metric, n of a context."""
     count = lambda df, name, what=F.count(F.lit(1)): df.agg(what.alias("n")).select(F.lit(name).alias("metric"), "n")
-    return count(n, "nodes").unionByName(count(e, "edges")).unionByName(count(n, "files", F.countDistinct("file_path")))
+    return count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(count(nodes, "files", F.countDistinct("file_path")))
 
 
 def code_block(text: Column, start: Column, end: Column, most: int = 2000) -> Column:
