@@ -30,7 +30,7 @@ LANES, TRAIN_LANES, RATE, SEED = 1024, 128, 0.3, 11
 #: Words that are laid out in lanes at once, at least one document's.
 SCORE_WORDS = 3 << 20
 #: Copies that one task averages.
-FAN_IN = 32
+FAN_IN = 16
 
 
 class Vocabulary:
