@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
@@ -52,6 +54,33 @@ def drop_stored(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+@functools.lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on, idle, while the JVM beside it needs the room."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidied(run):
+    """run, a function from batches to batches, with release() at its task's end."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has few enough rows, else df unchanged, for a shuffled join."""
     rows = df.count() if rows is None else rows

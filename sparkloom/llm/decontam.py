@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import doc_chunks, string_buffers, words_of
+from sparkloom.llm.common import doc_chunks, string_buffers, tidied, words_of
 
 PHRASE_WORDS = 8
 SHARD_BYTES = 8 << 20
@@ -228,7 +228,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, phrase_words: int
                     if len(doc):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "start_word", "end_word"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
         out = found if out is None else out.unionByName(found)
     if len(parts) == 1:
         return out
@@ -265,7 +265,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PH
                     put["n_chars"] = pa.array([len(t) for t in new]).cast(batch.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([pc.replace_with_mask(batch.column(i), pa.array(mask), put[c]) if c in put else batch.column(i) for i, c in enumerate(cols)], schema=batch.schema)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidied(run), schema)
     return docs
 
 

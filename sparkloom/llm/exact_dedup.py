@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sparkloom.llm.common import drop_stored, stored
+from sparkloom.llm.common import drop_stored, stored, tidied
 
 BLOCK_BYTES = 1024
 #: Rows that are sampled, for each partition to come, to find the borders of the ranges. They go to the driver with whole
@@ -68,7 +68,7 @@ def named(df: DataFrame, by: list[str], keep: list[str], tag: str) -> DataFrame:
     usual = spark.conf.get(key)
     spark.conf.set(key, SAMPLED)
     try:
-        table = stored(ranged.mapInArrow(rank, out), tag)
+        table = stored(ranged.mapInArrow(tidied(rank), out), tag)
     finally:
         spark.conf.set(key, usual)
     edges = table.where("_part < 0").select((-1 - F.col("_part")).alias("_part"), "_rank", *(f"_{e}_{b}" for e in ("first", "last") for b in by))

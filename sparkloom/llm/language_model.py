@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import doc_chunks, stored, string_buffers, words_of
+from sparkloom.llm.common import doc_chunks, stored, string_buffers, tidied, words_of
 
 #: Words with a name of their own (ids from 1; 0 is any other word), classes of the softmax, units, words of a window.
 VOCAB, CLASSES, UNITS, WINDOW = 2048, 46, 24, 16
@@ -314,7 +314,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(257), pa.int32()), pa.nulls(257, pa.int64()), pa.array(spelled)], names=["byte", "word", "n"])
 
-    counts = stored(docs.select("text").mapInArrow(run, "byte int, word long, n long").groupBy("byte", "word").agg(F.sum("n").alias("n")), "words")
+    counts = stored(docs.select("text").mapInArrow(tidied(run), "byte int, word long, n long").groupBy("byte", "word").agg(F.sum("n").alias("n")), "words")
     spelled = np.zeros(257, np.int64)
     for r in counts.where("byte IS NOT NULL").collect():  # 257 rows
         spelled[r.byte] = r.n
@@ -373,7 +373,7 @@ def trained(docs: DataFrame, voc: Vocabulary) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], names=["part", "n", "weights"])
 
         share = docs.where(slot == k).select("text")
-        got = _averaged(share.mapInArrow(run, "part int, n long, weights binary"), share.rdd.getNumPartitions())
+        got = _averaged(share.mapInArrow(tidied(run), "part int, n long, weights binary"), share.rdd.getNumPartitions())
         if got:
             model.load(got[0])
     return model
@@ -416,4 +416,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
         if parts:
             yield scored()
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_unknown long, log_likelihood double, perplexity double")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_words long, n_unknown long, log_likelihood double, perplexity double")

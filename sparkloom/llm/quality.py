@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import doc_chunks, small, string_buffers
+from sparkloom.llm.common import doc_chunks, small, string_buffers, tidied
 
 EMBED, WIDTH, FILTERS, HIDDEN = 4, 6, 32, 16
 CHUNK = 256
@@ -179,7 +179,7 @@ def _scored(docs: DataFrame, net: Net, columns: list[str], keep: float | None) -
 
     chosen = docs.select(*columns)
     schema = chosen.schema if keep is not None else T.StructType([*(f for f in chosen.schema if f.name != "text"), T.StructField("quality", T.DoubleType())])
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import doc_chunks, string_buffers
+from sparkloom.llm.common import doc_chunks, string_buffers, tidied
 
 #: Literals, [classes], (a|b), ?, *, +, {m}, {m,n}, escapes and the classes d, w and s; bytes of ASCII. All rules have a bounded or greedy tail.
 RULES = {
@@ -350,7 +350,7 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(d) + a)), pa.array([scanner.names[x] for x in k]), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc_id", "rule", "start_byte", "end_byte"])
 
     schema = T.StructType([docs.select("doc_id").schema[0], T.StructField("rule", T.StringType()), T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 __all__ = ["DFA", "RULES", "Scanner", "find_secrets", "parse", "reverse"]

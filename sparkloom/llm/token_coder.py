@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import doc_chunks, span_hashes, string_buffers
+from sparkloom.llm.common import doc_chunks, span_hashes, string_buffers, tidied
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -357,7 +357,7 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int
         if blocks:
             yield out()
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), SCHEMA)
 
 
 def documents_of(blocks: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -371,4 +371,4 @@ def documents_of(blocks: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 at = np.cumsum([0, *row["n_tokens"]])
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first_tokens"], pa.int64()), pa.array([x[i:j].tolist() for i, j in zip(at, at[1:])], pa.list_(pa.int32()))], names=["doc_id", "first_token", "ids"])
 
-    return blocks.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("first_token", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return blocks.mapInArrow(tidied(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("first_token", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))

@@ -10,6 +10,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkloom.llm.common import tidied
+
 STRICT = ("spam-farm", "cheap-pills", "casino", "porn", "xxx", "warez", "malware", "phishing", "free-money", "torrent")
 SOFT = {"pills": 1, "cheap": 1, "spam": 1, "farm": 1, "bonus": 1, "win": 1, "adult": 2, "bet": 1, "loan": 1, "click": 1, "promo": 1, "deal": 1, "buy": 1}
 SOFT_LIMIT = 3
@@ -58,7 +60,7 @@ def filter_urls(pages: DataFrame, strict=STRICT, soft: dict[str, int] = SOFT, li
             s, m, w, r = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(w, pa.int32()), pa.array(r, pa.bool_())], ["page_id", "url", "n_strict", "n_soft", "soft_weight", "rejected"])
 
-    return pages.select("page_id", "url").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url").mapInArrow(tidied(run), SCHEMA)
 
 
 def oracle(strict=STRICT, soft: dict[str, int] = SOFT, limit: int = SOFT_LIMIT) -> str:
