@@ -28,7 +28,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 1 << 14
 #: Text tokenized at once, and blocks coded side by side.
-TEXT_BYTES, LANES = 8 << 20, 512
+TEXT_BYTES, LANES = 4 << 20, 256
+#: Distinct pieces that a worker remembers; beyond it starts anew, which costs time only.
+PIECES = 1 << 19
 #: Bits of the coder's total; the least share of order 0, which every id has; how much one occurrence adds to its frequency.
 TOTAL_BITS, LEAST, GAIN = 26, 1 << 21, 32
 TOTAL = 1 << TOTAL_BITS
@@ -55,6 +57,9 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.n_ids = max(ranks.values()) + 1
         self.one = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._forget()
+
+    def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
@@ -76,6 +81,8 @@ class Tokenizer:
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids before each document and in all)."""
         n_docs = len(offsets) - 1
+        if len(self.keys) > PIECES:
+            self._forget()
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(n_docs + 1, np.int64)
         space = _ASCII_SPACE[raw]
@@ -193,7 +200,7 @@ def intervals(x: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
         width[a:b] = upto[s + 1] * w0 // total - lo + np.where(hit2[a:b], m2, 0) + np.where(hit1[a:b], m1, 0)
         counts += np.bincount(event[a:b], minlength=STATES * STATES * 3).reshape(-1, 3)
         np.add.at(freq, s, GAIN)
-    return begin, width
+    return begin.astype(np.uint32), width.astype(np.uint32)
 
 
 # ---- range coder: 64-bit state, 32-bit digits, no carries ----
