@@ -1,12 +1,12 @@
 r"""Secret scan by one combined deterministic automaton.
 
-The rules' regular expressions are parsed into one nondeterministic automaton over bytes. Subset construction and
-minimisation (partition refinement, with the set of rules that end as a state's mark) give one transition array over
-byte classes, which is stepped once through all bytes of many documents at a time, side by side. Where some rule
-ends, that rule's own reversed automaton finds all starts by one pass back. Matches are leftmost-longest, without overlap per rule.
-
-A match begins at the text's start or after a byte outside INNER. As the rules' tails consist of INNER bytes, no rule
-starts inside another's tail at another offset, which keeps the subset construction from multiplying their counters.
+The rules' regular expressions are parsed into trees. A rule's head is what its matches begin with, cut to HEAD bytes:
+short enough that the heads of all rules, beginning at any byte, make one small automaton, while whole rules would
+multiply the counters of each other's tails in the subset construction. Subset construction and minimisation (partition
+refinement, with the set of rules whose heads end as a state's mark) give one transition array over byte classes, which
+is stepped once through all bytes of many documents at a time, side by side. Where a head ends, the reversed head gives
+its starts, and the rule's own automaton goes on from there. Matches are leftmost-longest, without overlap per rule. What
+a failed attempt has passed is remembered, so attempts that run into each other stay linear.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ RULES = {
     "private_key": r"-----BEGIN ((RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-----",
     "json_web_token": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "stripe_key": r"(sk|rk)_(live|test)_[0-9A-Za-z]{16,32}",
-    "password": r"[Pp](assword|ASSWORD|wd|asswd) ?[=:] ?[\"']?[0-9A-Za-z_.-]{6,}",
+    "password": r"[Pp](assword|ASSWORD|wd|asswd) ?[=:] ?[\"']?[!#-&(-~]{6,}",
     "token": r"([Tt]oken|[Ss]ecret|[Aa][Pp][Ii]_?[Kk]ey) ?[=:] ?[\"']?[0-9A-Za-z_-]{16,}[\"']?",
 }
 
 SHARD_BYTES, LANES = 8 << 20, 4096
+#: Bytes of a head at least, as far as the rule's shortest match goes.
+HEAD = 6
 _W = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | {95}
 _ESC = {"d": frozenset(range(48, 58)), "w": _W, "s": frozenset(b" \t\n\r\f\v"), "n": frozenset(b"\n"), "t": frozenset(b"\t"), "r": frozenset(b"\r")}
 ALL = frozenset(range(256))
@@ -128,6 +130,36 @@ def reverse(tree):
     return (kind, parts[::-1] if kind == "cat" else parts)
 
 
+def least(tree) -> int:
+    """Bytes of the shortest match."""
+    kind = tree[0]
+    if kind == "set":
+        return 1
+    if kind == "rep":
+        return tree[2] * least(tree[1])
+    return (sum if kind == "cat" else min)(map(least, tree[1]))
+
+
+def head(tree, need: int = HEAD):
+    """A tree of which every match of the given one begins with a match, of `need` bytes at least where the shortest match has them."""
+    kind = tree[0]
+    if kind == "set" or least(tree) < need:
+        return tree
+    if kind == "alt":
+        return ("alt", [head(p, need) for p in tree[1]])
+    if kind == "rep":
+        one = least(tree[1])
+        n = (need - 1) // one
+        return ("cat", [("rep", tree[1], n, n), head(tree[1], need - n * one)])
+    parts = []
+    for p in tree[1]:
+        parts.append(head(p, need))
+        need -= least(p)
+        if need <= 0:
+            break
+    return ("cat", parts)
+
+
 class NFA:
     def __init__(self):
         self.eps: list[list[int]] = []
@@ -239,15 +271,24 @@ class DFA:
 
 
 class Scanner:
-    def __init__(self, rules: dict[str, str] = RULES):
-        self.names = list(rules)
+    def __init__(self, rules: dict[str, str] = RULES, inner: frozenset = INNER):
+        """A match begins at the text's start or after a byte outside inner; with an empty inner anywhere."""
+        self.names, self.inner = list(rules), inner
         trees = [parse(r) for r in rules.values()]
-        self.all = DFA(trees, ALL - INNER)
-        self.one = [DFA([t]) for t in trees]
-        self.back = [DFA([reverse(t)], ALL) for t in trees]
+        heads = [head(t) for t in trees]
+        self.all = DFA(heads, ALL - inner)
+        self.one = [self._lists(DFA([t])) for t in trees]
+        self.back = [self._lists(DFA([reverse(t)])) for t in heads]
+
+    @staticmethod
+    def _lists(d: DFA) -> tuple[list, list, list, list]:
+        """(step, whether it's an end, whether nothing follows, class_of), the middle two by state times classes."""
+        rows = d.step.reshape(d.states, d.classes)
+        dead = (rows == (np.arange(d.states) * d.classes)[:, None]).all(1) & (d.mark == 0)
+        return d.step.tolist(), np.repeat(d.mark != 0, d.classes).tolist(), np.repeat(dead, d.classes).tolist(), d.class_of.tolist()
 
     def ends(self, raw: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-        """(positions after the last byte, rule sets) of everything that ends somewhere, by one pass over all bytes."""
+        """(positions after the last byte, rule sets) of every head that ends somewhere, by one pass over all bytes."""
         d, n = self.all, len(raw)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -294,53 +335,51 @@ class Scanner:
         if not len(ends):
             return []
         doc = np.searchsorted(offsets, ends - 1, "right") - 1
-        last: dict[tuple[int, int], int] = {}
+        found: dict[tuple[int, int], set[int]] = {}
         for e, m, d in zip(ends.tolist(), marks.tolist(), doc.tolist()):
             for k in range(len(self.names)):
                 if m >> k & 1:
-                    last[d, k] = max(e, last.get((d, k), 0))
-        found: dict[tuple[int, int], list[int]] = {}
-        for (d, k), e in last.items():
-            back, s, lo = self.back[k], 0, int(offsets[d])
-            text = raw[lo:e].tobytes()
-            step, mark, cls = back.step.tolist(), back.mark.tolist(), back.class_of.tolist()
-            for i in range(len(text) - 1, -1, -1):
-                s = step[s + cls[text[i]]]
-                if mark[s // back.classes] and (i == 0 or text[i - 1] not in INNER):
-                    found.setdefault((d, k), []).append(lo + i)
+                    step, end, dead, cls = self.back[k]
+                    s, lo = 0, int(offsets[d])
+                    for i in range(e - 1, lo - 1, -1):
+                        s = step[s + cls[raw[i]]]
+                        if end[s] and (i == lo or raw[i - 1] not in self.inner):
+                            found.setdefault((d, k), set()).add(i)
+                        elif dead[s]:
+                            break
         out = []
         for (d, k), starts in sorted(found.items()):
-            one, hi, upto = self.one[k], int(offsets[d + 1]), -1
+            step, end, dead, cls = self.one[k]
+            lo, hi, upto = int(offsets[d]), int(offsets[d + 1]), -1
+            vain: set[tuple[int, int]] = set()  # (position, state) from which no end follows
             for a in sorted(starts):
                 if a < upto:
                     continue
-                s, last = 0, None
+                s, last, passed = 0, None, []
                 for i in range(a, hi):
-                    s = int(one.step[s + one.class_of[raw[i]]])
-                    if one.mark[s // one.classes]:
-                        last = i + 1
-                    elif self._dead(one, s):
+                    s = step[s + cls[raw[i]]]
+                    if end[s]:
+                        last, passed = i + 1, []
+                    elif dead[s] or (i, s) in vain:
                         break
+                    else:
+                        passed.append((i, s))
+                vain.update(passed)
                 if last is not None:
-                    out.append((d, k, a - int(offsets[d]), last - int(offsets[d])))
+                    out.append((d, k, a - lo, last - lo))
                     upto = last
         return out
 
-    @staticmethod
-    def _dead(d: DFA, s: int) -> bool:
-        row = d.step[s : s + d.classes]
-        return bool((row == s).all())
-
 
 def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """doc_id, rule, start_byte, end_byte of every match: leftmost-longest and without overlap, for each rule by itself.
 
-    Offsets are in the UTF-8 bytes of text. Null and empty texts have no match; repeated rows give repeated matches; no
+    A match may begin at any byte. Offsets are in the UTF-8 bytes of text. Null and empty texts have no match; repeated rows give repeated matches; no
     match goes over the border of two documents. An empty table gives no rows. Other columns are ignored.
     """
 
     def run(batches):
-        scanner = Scanner(rules)
+        scanner = Scanner(rules, frozenset())
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1), lower=False)
             for a, b in doc_chunks(offsets, SHARD_BYTES):
@@ -353,4 +392,4 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
-__all__ = ["DFA", "RULES", "Scanner", "find_secrets", "parse", "reverse"]
+__all__ = ["DFA", "RULES", "Scanner", "find_secrets", "head", "parse", "reverse"]

@@ -58,3 +58,26 @@ def test_odd_rows(odd, none):
 def test_bad_rules_are_refused(bad):
     with pytest.raises((ValueError, IndexError)):
         S.parse(bad)
+
+
+GLUE = PIECES + ["a", "_", "DB_", "my_", "\\n", "id-", "token: ", "api_key=", "p@ssw0rd!", "eyJ", "AKIA", "AIza", "xoxb-"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_begins_anywhere_against_plain_expressions(make, seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice(GLUE) for _ in range(r.randint(0, 14))) for _ in range(300)]
+    names = list(S.RULES)
+    want = sorted((d, names.index(k), *m.span()) for d, t in enumerate(texts) for k, rule in S.RULES.items() for m in re.finditer(rule.encode(), t.encode()))
+    got = [(x.doc_id, names.index(x.rule), x.start_byte, x.end_byte) for x in S.find_secrets(make(*enumerate(texts))).collect()]
+    assert sorted(got) == want and want
+
+
+@pytest.mark.parametrize("rule, text", [("password", "db_password = hunter22"), ("password", "spring.datasource.password=hunter22"), ("password", "password: p@ssw0rd!"), ("token", "client_secret=" + "ab12" * 5), ("token", "my_api_key=" + "ab12" * 5), ("token", "access_token: " + "ab12" * 5), ("aws_access_key", "id-AKIA" + "A1B2" * 4), ("github_token", "key_ghp_" + "a1" * 18), ("private_key", "\\n-----BEGIN PRIVATE KEY-----")])
+def test_common_forms(make, rule, text):
+    (r,) = S.find_secrets(make((1, text))).collect()
+    assert r.rule == rule and r.end_byte == len(text)
+
+
+def test_failed_attempts_are_linear(make):
+    assert S.find_secrets(make((1, "eyJ" * 100_000))).count() == 0
