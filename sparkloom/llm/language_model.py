@@ -3,8 +3,8 @@
 The vocabulary is the most frequent words by counts over all documents; a class-factored softmax predicts a word as a
 class (words of about equal total frequency) and a member of it. Training is truncated backpropagation over windows of
 WINDOW words, many documents side by side, with the state carried from window to window. It is distributed: in each
-round the tasks train copies of the model on a fixed share of the documents, whole texts, chosen by hash, and the copies
-are averaged by their numbers of words; so what is gathered grows with the corpus. Scoring goes once over all documents
+round the tasks train copies of the model on one of ROUNDS disjoint parts of the documents, whole texts, parted by hash,
+and the copies are averaged by their numbers of words; every document is trained on once. Scoring goes once over all documents
 and every word of them, the state carried through to a document's end.
 
 A word outside the vocabulary is predicted as such, and then spelled with the frequencies of the corpus's bytes.
@@ -24,8 +24,8 @@ from sparkloom.llm.common import doc_chunks, stored, string_buffers, tidied, wor
 
 #: Words with a name of their own (ids from 1; 0 is any other word), classes of the softmax, units, words of a window.
 VOCAB, CLASSES, UNITS, WINDOW = 2048, 46, 24, 16
-#: One document in so many is trained on, in each of ROUNDS disjoint parts.
-SHARE, ROUNDS = 8, 2
+#: Disjoint parts of the documents, together all of them, each trained on in a round of its own.
+ROUNDS = 2
 LANES, TRAIN_LANES, RATE, SEED = 1024, 128, 0.3, 11
 #: Words that are laid out in lanes at once, at least one document's.
 SCORE_WORDS = 3 << 20
@@ -146,10 +146,11 @@ class Trainer:
     def window(self, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
         """One update from a window of shape (words, lanes); target is -1 where none counts, fresh where the state begins anew."""
         m, n = self.m, UNITS
-        m.d = {k: np.zeros_like(getattr(m, k)) for k in Model.NAMES}
+        m.d = {k: np.zeros_like(getattr(m, k)) for k in Model.NAMES if k != "x"}
+        live = (~fresh).astype(h.dtype)[:, :, None]
         states, keep = [], []
         for t in range(len(given)):
-            h = h * ~fresh[t][:, None]
+            h = h * live[t]
             new, rz, c, hu = m.step(given[t], h)
             states.append(new)
             keep.append((h, rz, c, hu))
@@ -160,19 +161,21 @@ class Trainer:
         dout = np.zeros_like(out)
         dout[on] = dh
         back = np.zeros_like(h)
-        gx = np.empty((len(keep), h.shape[0], 3 * n), np.float32)
+        prev, rz, c, hu = (np.stack(x) for x in zip(*keep))
+        r, z = rz[..., :n], rz[..., n:]
+        to_c, to_r, to_z = (1 - z) * (1 - c * c), hu * r * (1 - r), (prev - c) * z * (1 - z)
+        gx = np.empty((*c.shape[:2], 3 * n), c.dtype)
+        gh = np.empty_like(gx)
         for t in range(len(keep) - 1, -1, -1):
-            prev, rz, c, hu = keep[t]
-            r, z = rz[:, :n], rz[:, n:]
             dh_ = back + dout[t]
-            dc = dh_ * (1 - z) * (1 - c * c)
-            g = gx[t]
-            g[:, :n] = dc * hu * r * (1 - r)
-            g[:, n : 2 * n] = dh_ * (prev - c) * z * (1 - z)
-            g[:, 2 * n :] = dc
-            gh = np.concatenate([g[:, : 2 * n], dc * r], 1)
-            m.d["u"] += prev.T @ gh
-            back = (dh_ * z + gh @ m.u.T) * ~fresh[t][:, None]
+            dc = dh_ * to_c[t]
+            np.multiply(dc, to_r[t], out=gh[t, :, :n])
+            np.multiply(dh_, to_z[t], out=gh[t, :, n : 2 * n])
+            np.multiply(dc, r[t], out=gh[t, :, 2 * n :])
+            gx[t, :, 2 * n :] = dc
+            back = (dh_ * z[t] + gh[t] @ m.u.T) * live[t]
+        gx[..., : 2 * n] = gh[..., : 2 * n]
+        m.d["u"] += prev.reshape(-1, n).T @ gh.reshape(-1, 3 * n)
         flat = gx.reshape(-1, 3 * n)
         at = given.ravel()
         order = np.argsort(at, kind="stable")
@@ -182,12 +185,12 @@ class Trainer:
         gsum = np.add.reduceat(flat[order], cut, 0)
         scale = 1 / max(1, len(ll))
         for k in Model.NAMES:
-            g = m.d[k] * scale * 16
             if k == "x":
                 g = gsum * scale * 16
                 self.sum[k][touched] += g * g
                 m.x[touched] += RATE * g / np.sqrt(self.sum[k][touched])
                 continue
+            g = m.d[k] * scale * 16
             np.clip(g, -5, 5, out=g)
             self.sum[k] += g * g
             setattr(m, k, getattr(m, k) + RATE * g / np.sqrt(self.sum[k]))
@@ -344,9 +347,9 @@ def _averaged(df: DataFrame, parts: int) -> tuple[np.ndarray, int] | None:
 
 
 def trained(docs: DataFrame, voc: Vocabulary) -> Model:
-    """ROUNDS of training copies on disjoint parts of the share, each followed by an average."""
+    """ROUNDS of training copies on disjoint parts, together all documents, each followed by an average."""
     sc, model = docs.sparkSession.sparkContext, Model(voc)
-    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE * ROUNDS))
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         now = sc.broadcast((voc, model.flat()))  # under 1 MB, by the size of the vocabulary
 
@@ -372,8 +375,8 @@ def trained(docs: DataFrame, voc: Vocabulary) -> Model:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], names=["part", "n", "weights"])
 
-        share = docs.where(slot == k).select("text")
-        got = _averaged(share.mapInArrow(tidied(run), "part int, n long, weights binary"), share.rdd.getNumPartitions())
+        part = docs.where(slot == k).select("text")
+        got = _averaged(part.mapInArrow(tidied(run), "part int, n long, weights binary"), part.rdd.getNumPartitions())
         if got:
             model.load(got[0])
     return model

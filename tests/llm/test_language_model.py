@@ -120,3 +120,17 @@ def test_averages_are_weighted(spark):
     df = spark.createDataFrame(rows, "part int, n long, weights binary")
     got, n = L._averaged(df, 100)
     assert n == 5050 and np.allclose(got, sum(i * (i + 1) for i in range(100)) / 5050, rtol=1e-5)
+
+
+def test_every_document_is_trained_on(make, monkeypatch):
+    docs = make(*[(i, f"a{i} b{i} c{i}") for i in range(40)])
+    seen, plain = [], L._averaged
+    monkeypatch.setattr(L, "_averaged", lambda df, parts: seen.append(plain(df, parts)) or seen[-1])
+    L.trained(docs, L.vocabulary(docs))
+    assert sum(x[1] for x in seen if x) == 120
+
+
+def test_a_table_of_one_row_is_trained_on(make):
+    docs = make((1, "one two one two"))
+    voc = L.vocabulary(docs)
+    assert not np.array_equal(L.trained(docs, voc).flat(), L.Model(voc).flat())
