@@ -23,6 +23,8 @@ SHARD_BYTES = 8 << 20
 SAMPLE = 32
 #: Benchmark text shipped with a task at most; a larger benchmark is searched in several parts.
 PART_BYTES = 32 << 20
+#: With several parts, batches that are held at once while part after part is searched in them.
+HELD_BYTES = 64 << 20
 
 END, SEP, OTHER, FIRST = 0, 1, 2, 3
 
@@ -208,6 +210,45 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+def _groups(batches, most: int):
+    """Lists of batches of at least `most` bytes, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(batches, k: int, parts: list, phrase_words: int):
+    """Every batch with the spans of its rows, {row: [(first word, after the last)]}: those of all parts (broadcasts) in the texts of column k as they came, merged."""
+    one = Phrases(parts[0].value, phrase_words) if len(parts) == 1 else None
+    for group in _groups(batches, HELD_BYTES if one is None else 0):
+        spans: list[dict[int, list[tuple[int, int]]]] = [{} for _ in group]
+        for part in parts:
+            phrases = Phrases(part.value, phrase_words) if one is None else one
+            for batch, got in zip(group, spans):
+                raw, offsets = string_buffers(batch.column(k))
+                for a, b in doc_chunks(offsets, SHARD_BYTES):
+                    for d, s, e in zip(*(x.tolist() for x in shard_spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], phrases))):
+                        got.setdefault(d + a, []).append((s, e))
+            if one is None:
+                vars(part).pop("_value", None)  # read again from disk for the next group
+        for batch, got in zip(group, spans):
+            for d, found in got.items():
+                merged: list[tuple[int, int]] = []
+                for s, e in sorted(found):
+                    if merged and s <= merged[-1][1]:
+                        merged[-1] = merged[-1][0], max(merged[-1][1], e)
+                    else:
+                        merged.append((s, e))
+                got[d] = merged
+            yield batch, dict(sorted(got.items()))
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS) -> DataFrame:
     """doc_id, start_word, end_word (after the last): every merged span; documents without any have no row.
 
@@ -215,26 +256,16 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, phrase_words: int
     or items, have no words; an item shorter than a phrase is one whole phrase; repeated rows give repeated spans; a
     document is never cut between shards. An empty table on either side gives no rows.
     """
-    schema, out = T.StructType([docs.select("doc_id").schema[0], T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())]), None
-    parts = _parts(benchmark)
-    for texts in parts:
-
-        def run(batches, texts=texts):
-            phrases = Phrases(texts, phrase_words)
-            for batch in batches:
-                raw, offsets = string_buffers(batch.column(1))
-                for a, b in doc_chunks(offsets, SHARD_BYTES):
-                    doc, start, end = shard_spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], phrases)
-                    if len(doc):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "start_word", "end_word"])
+    schema = T.StructType([docs.select("doc_id").schema[0], T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType())])
+    parts = [docs.sparkSession.sparkContext.broadcast(x) for x in _parts(benchmark)]
 
-        found = docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
-        out = found if out is None else out.unionByName(found)
-    if len(parts) == 1:
-        return out
-    # Spans that touch across parts: merged per document.
-    merge = F.expr("aggregate(array_sort(collect_list(struct(start_word, end_word))), cast(array() as array<struct<start_word:int,end_word:int>>), (acc, x) -> if(size(acc) > 0 and x.start_word <= element_at(acc, -1).end_word, concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start_word as start_word, greatest(element_at(acc, -1).end_word, x.end_word) as end_word))), concat(acc, array(x))))")
-    return out.distinct().groupBy("doc_id").agg(merge.alias("s")).select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
+    def run(batches):
+        for batch, got in _found(batches, 1, parts, phrase_words):
+            if got:
+                row, start, end = zip(*((d, s, e) for d, spans in got.items() for s, e in spans))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "start_word", "end_word"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PHRASE_WORDS) -> DataFrame:
@@ -243,30 +274,24 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, phrase_words: int = PH
     A document that is nothing but spans keeps its row with what stands outside them. Cases as in contaminated_spans.
     """
     schema, cols = docs.schema, docs.columns
-    for texts in _parts(benchmark):
-
-        def run(batches, texts=texts):
-            phrases, k = Phrases(texts, phrase_words), cols.index("text")
-            for batch in batches:
-                raw, offsets = string_buffers(batch.column(k))
-                changed: dict[int, list[tuple[int, int]]] = {}
-                for a, b in doc_chunks(offsets, SHARD_BYTES):
-                    for d, s, e in zip(*(x.tolist() for x in shard_spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], phrases))):
-                        changed.setdefault(d + a, []).append((s, e))
-                if not changed:
-                    yield batch
-                    continue
-                rows = np.array(sorted(changed))
-                new = [_cut(batch.column(k)[int(i)].as_py(), changed[int(i)]) for i in rows]
-                mask = np.zeros(batch.num_rows, bool)
-                mask[rows] = True
-                put = {"text": pa.array(new, batch.column(k).type)}
-                if "n_chars" in cols:
-                    put["n_chars"] = pa.array([len(t) for t in new]).cast(batch.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_arrays([pc.replace_with_mask(batch.column(i), pa.array(mask), put[c]) if c in put else batch.column(i) for i, c in enumerate(cols)], schema=batch.schema)
-
-        docs = docs.mapInArrow(tidied(run), schema)
-    return docs
+    parts = [docs.sparkSession.sparkContext.broadcast(x) for x in _parts(benchmark)]
+
+    def run(batches):
+        k = cols.index("text")
+        for batch, changed in _found(batches, k, parts, phrase_words):
+            if not changed:
+                yield batch
+                continue
+            rows = np.array(list(changed))
+            new = [_cut(batch.column(k)[int(i)].as_py(), changed[int(i)]) for i in rows]
+            mask = np.zeros(batch.num_rows, bool)
+            mask[rows] = True
+            put = {"text": pa.array(new, batch.column(k).type)}
+            if "n_chars" in cols:
+                put["n_chars"] = pa.array([len(t) for t in new]).cast(batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([pc.replace_with_mask(batch.column(i), pa.array(mask), put[c]) if c in put else batch.column(i) for i, c in enumerate(cols)], schema=batch.schema)
+
+    return docs.mapInArrow(tidied(run), schema)
 
 
 ORACLE = f"""

@@ -75,3 +75,16 @@ def test_removal_keeps_the_rest(make, spark, odd, none):
     assert D.decontaminated(odd, bench).count() == odd.count()
     assert D.contaminated_spans(none, bench).count() == 0
     assert D.contaminated_spans(docs, bench.limit(0)).count() == 0
+
+
+def test_parts_change_nothing(make, spark, monkeypatch):
+    line = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(line[i : i + 10])) for i in range(0, 30, 3)], "item_id long, text string")
+    text = "before " + " ".join(line[:30]) + " after " + " ".join(line[32:36])
+    docs = make((1, text), (1, text), (None, text), (None, "other " + text), (2, "x " + text), (2, "nothing here"), (3, None))
+    rows = lambda: (sorted(map(tuple, D.contaminated_spans(docs, bench).collect()), key=repr), sorted(map(tuple, D.decontaminated(docs, bench).collect()), key=repr))
+    one = rows()
+    monkeypatch.setattr(D, "PART_BYTES", 60)
+    monkeypatch.setattr(D, "HELD_BYTES", 1)
+    assert len(D._parts(bench)) > 3
+    assert rows() == one and len(one[0]) == 5
