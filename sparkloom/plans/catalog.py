@@ -573,8 +573,7 @@ STOP = ", ".join(f"'{w}'" for w in sorted(fn.STOP_WORDS))
 @query("", f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x, i: len(x) > 1 AND x NOT IN ({STOP}) AND list_position(regexp_extract_all(lower(text), '[a-z0-9]+'), x) = i), ' ') AS words FROM conversations WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9])({'|'.join(sorted(fn.ALIASES))})($|[^a-z0-9])')")
 def q_fn_candidates(g):
     text = g.table("conversations")
-    alias = F.lower("text").rlike("(^|[^a-z0-9])(" + "|".join(sorted(fn.ALIASES)) + ")($|[^a-z0-9])")
-    return text.where(~alias).select("conv_id", "turn", F.array_join(fn.candidates(F.col("text")), " ").alias("words"))
+    return text.select("conv_id", "turn", F.array_join(fn.candidates(F.col("text")), " ").alias("words"))
 
 
 DOC_WORDS = ["the", "tion"]
