@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows times bytes up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
@@ -81,6 +82,22 @@ def tidied(run):
     return tidy
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as it takes to be none of the column names in taken."""
+    there = {c.lower() for c in taken}
+    while name.lower() in there:
+        name = "_" + name
+    return name
+
+
+def integer_ids(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with its id as a 64-bit integer; TypeError for a column of another kind."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{column} must be an integer column, not {kind.simpleString()}")
+    return df if isinstance(kind, T.LongType) else df.withColumn(column, F.col(column).cast("long"))
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has few enough rows, else df unchanged, for a shuffled join."""
     rows = df.count() if rows is None else rows
