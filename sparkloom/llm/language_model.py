@@ -1,11 +1,13 @@
 """Language-model scoring with a gated recurrent network, in numpy.
 
-The vocabulary is the most frequent words by counts over all documents; a class-factored softmax predicts a word as a
-class (words of about equal total frequency) and a member of it. Training is truncated backpropagation over windows of
-WINDOW words, many documents side by side, with the state carried from window to window. It is distributed: in each
-round the tasks train copies of the model on one of ROUNDS disjoint parts of the documents, whole texts, parted by hash,
-and the copies are averaged by their numbers of words; every document is trained on once. Scoring goes once over all documents
-and every word of them, the state carried through to a document's end.
+The vocabulary is the most frequent words by counts over all documents, as many as cover COVER of all words, within what
+the model may hold; a class-factored softmax predicts a word as a class (of words of about equal total root of frequency,
+which gives rare words small classes) and a member of it. Training is truncated backpropagation over windows of WINDOW
+words, many documents side by side, with the state carried from window to window; a document of more than SEGMENT words is
+trained on in pieces of that length, each from a fresh state, so that it can go side by side with itself. Training is
+distributed: in each of ROUNDS rounds the tasks train copies of the model on one of as many disjoint parts of the documents,
+parted by hash, and the copies are averaged by their numbers of words; every word of every document is trained on once.
+Scoring goes once over all documents and every word of them, the state carried through from a document's first word to its last.
 
 A word outside the vocabulary is predicted as such, and then spelled with the frequencies of the corpus's bytes.
 """
@@ -20,15 +22,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import doc_chunks, stored, string_buffers, tidied, words_of
+from sparkloom.llm.common import doc_chunks, integer_ids, stored, string_buffers, tidied, words_of
 
-#: Words with a name of their own (ids from 1; 0 is any other word), classes of the softmax, units, words of a window.
-VOCAB, CLASSES, UNITS, WINDOW = 2048, 46, 24, 16
+#: Share of all words that the vocabulary covers if it may hold so many, and how many it may hold (ids from 1; 0 is any other word).
+COVER, VOCAB = 0.95, 8192
+#: Classes of the softmax, units of the state, numbers that stand for a word, words of a window.
+CLASSES, UNITS, EMBED, WINDOW = 64, 24, 24, 16
 #: Disjoint parts of the documents, together all of them, each trained on in a round of its own.
-ROUNDS = 2
-LANES, TRAIN_LANES, RATE, SEED = 1024, 128, 0.3, 11
-#: Words that are laid out in lanes at once, at least one document's.
-SCORE_WORDS = 3 << 20
+ROUNDS = 4
+LANES, TRAIN_LANES, RATE, SEED = 1024, 512, 0.6, 11
+#: Words of a document that are trained on in one lane.
+SEGMENT = 1024
+#: Words that are laid out in lanes at once (one document's at least), in training and in scoring; states that are scored at once.
+TRAIN_WORDS, SCORE_WORDS, SCORE_ROWS = 2 << 20, 3 << 20, 1 << 14
+#: Words that a window counts as at least, so that a few words make a small step.
+FEWEST = 4096
 #: Copies that one task averages.
 FAN_IN = 16
 
@@ -41,7 +49,7 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], (order + 1).astype(np.int32)
         freq = np.concatenate([[unknown], counts]).astype(np.float64) + 1
-        share = np.cumsum(freq) / freq.sum()
+        share = np.cumsum(np.sqrt(freq)) / np.sqrt(freq).sum()
         cls = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
         cls = np.unique(cls, return_inverse=True)[1]  # without empty classes
         self.cls = cls.astype(np.int32)
@@ -59,22 +67,48 @@ class Vocabulary:
         return np.where(self.hashes[at] == h, self.ids[at], 0).astype(np.int32)
 
 
+def _exp(x: np.ndarray, bound: float) -> np.ndarray | float:
+    """Turns the rows of x into exponentials in place, of x less the largest of a row where they might be too large; returns what was taken off."""
+    off: np.ndarray | float = 0.0
+    if bound > 60:
+        off = x.max(1)
+        x -= off[:, None]
+    np.exp(x, out=x)
+    return off
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Model:
     """A gated recurrent unit and a class-factored softmax. Ids: 0 unknown, 1.. words; the input at a document's start is the last row."""
 
-    NAMES = ("x", "u", "wc", "bc", "wm", "bm")
+    NAMES = ("e", "w", "b", "u", "wc", "bc", "wm", "bm")
 
     def __init__(self, voc: Vocabulary, seed: int = SEED):
         g = np.random.Generator(np.random.PCG64(seed))
         n, k, h = len(voc.freq), len(voc.size), UNITS
-        self.x = (g.standard_normal((n + 1, 3 * h)) * 0.1).astype(np.float32)  # embedding and input weights in one
-        self.u = (g.standard_normal((h, 3 * h)) * h**-0.5).astype(np.float32)
-        self.wc = (g.standard_normal((k, h)) * 0.05).astype(np.float32)
-        self.wm = (g.standard_normal((n, h)) * 0.05).astype(np.float32)
+        normal = lambda *s, by: (g.standard_normal(s) * by).astype(np.float32)
+        self.e = normal(n + 1, EMBED, by=0.3)
+        self.w = normal(EMBED, 3 * h, by=EMBED**-0.5)
+        self.b = np.zeros(3 * h, np.float32)
+        self.u = normal(h, 3 * h, by=h**-0.5)
+        self.wc = normal(k, h, by=0.05)
+        self.wm = normal(n, h, by=0.05)
         by_class = np.bincount(voc.cls, voc.freq)
         self.bc = np.log(by_class / by_class.sum()).astype(np.float32)
         self.bm = np.log(voc.freq / by_class[voc.cls]).astype(np.float32)
         self.voc = voc
+        self.bounds()
+
+    def bounds(self) -> None:
+        """How large a class's, and a member's, logit can be, as no state is beyond 1."""
+        self.most_c = float(np.max(np.abs(self.wc).sum(1) + np.abs(self.bc)))
+        self.most_m = float(np.max(np.abs(self.wm).sum(1) + np.abs(self.bm)))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -85,165 +119,202 @@ class Model:
             a = getattr(self, k)
             setattr(self, k, flat[at : at + a.size].reshape(a.shape).astype(np.float32))
             at += a.size
+        self.bounds()
         return self
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, gates r and z, candidate, its recurrent part)."""
+    def given(self, ids: np.ndarray) -> np.ndarray:
+        """What words put into the gates and the candidate."""
+        return self.e[ids] @ self.w + self.b
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(new state, gates r and z, candidate, its recurrent part); x is what given() says."""
         n = UNITS
-        xi, hu = self.x[ids], h @ self.u
-        rz = xi[:, : 2 * n] + hu[:, : 2 * n]
-        rz = 1 / (1 + np.exp(-rz))
-        c = np.tanh(xi[:, 2 * n :] + rz[:, :n] * hu[:, 2 * n :])
-        new = c + rz[:, n:] * (h - c)
+        hu = h @ self.u
+        rz = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
+        c = rz[:, :n] * hu[:, 2 * n :]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= rz[:, n:]
+        new += c
         return new, rz, c, hu[:, 2 * n :]
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: bool = False):
         """Log-likelihood of each target given its state; with grad also the gradient of the sum for h, and adds up self.d."""
-        voc = self.voc
+        voc, n = self.voc, len(h)
         cls = voc.cls[target]
-        logits = h @ self.wc.T + self.bc
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        k = np.arange(len(h))
-        ll = logits[k, cls] - np.log(total)
-        if grad:
-            dl = -e / total[:, None]
-            dl[k, cls] += 1
-            dh = dl @ self.wc
-            self.d["wc"] += dl.T @ h
-            self.d["bc"] += dl.sum(0)
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(len(voc.size) + 1))
+        h, target, cls = h[order], target[order], cls[order]
+        edge = np.searchsorted(cls, np.arange(len(voc.size) + 1))
+        k = np.arange(n)
+        e = h @ self.wc.T
+        e += self.bc
+        ll = e[k, cls]
+        ll -= _exp(e, self.most_c)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        ll -= np.log(total)
+        if grad:
+            np.divide(e, -total[:, None], out=e)
+            e[k, cls] += 1
+            dh = e @ self.wc
+            self.d["wc"] += e.T @ h
+            self.d["bc"] += e.sum(0)
         for c in np.flatnonzero(np.diff(edge)):
             if voc.size[c] == 1:
                 continue
-            rows = order[edge[c] : edge[c + 1]]
-            a, b = voc.first[c], voc.first[c] + voc.size[c]
-            hr, t = h[rows], target[rows] - a
-            m = hr @ self.wm[a:b].T + self.bm[a:b]
-            m -= m.max(1, keepdims=True)
-            e = np.exp(m)
-            total = e.sum(1)
-            j = np.arange(len(rows))
-            ll[rows] += m[j, t] - np.log(total)
+            i, j = edge[c], edge[c + 1]
+            a = voc.first[c]
+            b = a + voc.size[c]
+            hr, at = h[i:j], (k[: j - i], target[i:j] - a)
+            e = hr @ self.wm[a:b].T
+            e += self.bm[a:b]
+            got = e[at]
+            got -= _exp(e, self.most_m)
+            total = e @ np.ones(b - a, e.dtype)
+            got -= np.log(total)
+            ll[i:j] += got
             if grad:
-                dl = -e / total[:, None]
-                dl[j, t] += 1
-                dh[rows] += dl @ self.wm[a:b]
-                self.d["wm"][a:b] += dl.T @ hr
-                self.d["bm"][a:b] += dl.sum(0)
-        return (ll, dh) if grad else ll
+                np.divide(e, -total[:, None], out=e)
+                e[at] += 1
+                dh[i:j] += e @ self.wm[a:b]
+                self.d["wm"][a:b] += e.T @ hr
+                self.d["bm"][a:b] += e.sum(0)
+        back = np.empty(n, np.int64)
+        back[order] = k
+        return (ll[back], dh[back]) if grad else ll[back]
 
 
 class Trainer:
     """Adagrad over truncated backpropagation."""
 
-    def __init__(self, model: Model):
-        self.m = model
+    def __init__(self, model: Model, rate: float = RATE):
+        self.m, self.rate = model, rate
         self.sum = {k: np.full_like(getattr(model, k), 0.1) for k in Model.NAMES}
 
     def window(self, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
         """One update from a window of shape (words, lanes); target is -1 where none counts, fresh where the state begins anew."""
         m, n = self.m, UNITS
-        m.d = {k: np.zeros_like(getattr(m, k)) for k in Model.NAMES if k != "x"}
+        words, lanes = given.shape
+        m.d = {k: np.zeros_like(getattr(m, k)) for k in Model.NAMES if k != "e"}
+        at = given.ravel()
+        e = m.e[at]
+        x = (e @ m.w + m.b).reshape(words, lanes, 3 * n)
         live = (~fresh).astype(h.dtype)[:, :, None]
-        states, keep = [], []
-        for t in range(len(given)):
-            h = h * live[t]
-            new, rz, c, hu = m.step(given[t], h)
-            states.append(new)
-            keep.append((h, rz, c, hu))
-            h = new
-        out = np.stack(states)
+        resets = fresh.any(1)
+        shape = (words, lanes, n)
+        out, prev, c, hu, rz = np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty((words, lanes, 2 * n), h.dtype)
+        for t in range(words):
+            if resets[t]:
+                h = h * live[t]
+            prev[t] = h
+            out[t], rz[t], c[t], hu[t] = m.step(x[t], h)
+            h = out[t]
         on = np.nonzero(target >= 0)
         ll, dh = m.output(out[on], target[on], True)
         dout = np.zeros_like(out)
         dout[on] = dh
         back = np.zeros_like(h)
-        prev, rz, c, hu = (np.stack(x) for x in zip(*keep))
         r, z = rz[..., :n], rz[..., n:]
         to_c, to_r, to_z = (1 - z) * (1 - c * c), hu * r * (1 - r), (prev - c) * z * (1 - z)
-        gx = np.empty((*c.shape[:2], 3 * n), c.dtype)
+        gx = np.empty((words, lanes, 3 * n), c.dtype)
         gh = np.empty_like(gx)
-        for t in range(len(keep) - 1, -1, -1):
+        u = np.ascontiguousarray(m.u.T)
+        for t in range(words - 1, -1, -1):
             dh_ = back + dout[t]
-            dc = dh_ * to_c[t]
+            dc = np.multiply(dh_, to_c[t], out=gx[t, :, 2 * n :])
             np.multiply(dc, to_r[t], out=gh[t, :, :n])
             np.multiply(dh_, to_z[t], out=gh[t, :, n : 2 * n])
             np.multiply(dc, r[t], out=gh[t, :, 2 * n :])
-            gx[t, :, 2 * n :] = dc
-            back = (dh_ * z[t] + gh[t] @ m.u.T) * live[t]
+            back = gh[t] @ u
+            back += np.multiply(dh_, z[t], out=dh_)
+            if resets[t]:
+                back *= live[t]
         gx[..., : 2 * n] = gh[..., : 2 * n]
-        m.d["u"] += prev.reshape(-1, n).T @ gh.reshape(-1, 3 * n)
         flat = gx.reshape(-1, 3 * n)
-        at = given.ravel()
+        m.d["u"] += prev.reshape(-1, n).T @ gh.reshape(-1, 3 * n)
+        m.d["w"] += e.T @ flat
+        m.d["b"] += flat.sum(0)
         order = np.argsort(at, kind="stable")
         rows = at[order]
         cut = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         touched = rows[cut]
-        gsum = np.add.reduceat(flat[order], cut, 0)
-        scale = 1 / max(1, len(ll))
-        for k in Model.NAMES:
-            if k == "x":
-                g = gsum * scale * 16
-                self.sum[k][touched] += g * g
-                m.x[touched] += RATE * g / np.sqrt(self.sum[k][touched])
-                continue
-            g = m.d[k] * scale * 16
+        self.d_e = touched, np.add.reduceat((flat @ m.w.T)[order], cut, 0)
+        scale = 16 / max(FEWEST, len(ll))
+        g = self.d_e[1] * scale
+        self.sum["e"][touched] += g * g
+        m.e[touched] += self.rate * g / np.sqrt(self.sum["e"][touched])
+        for k, g in m.d.items():
+            g = g * scale
             np.clip(g, -5, 5, out=g)
-            self.sum[k] += g * g
-            setattr(m, k, getattr(m, k) + RATE * g / np.sqrt(self.sum[k]))
+            s = self.sum[k]
+            s += g * g
+            g /= np.sqrt(s)
+            g *= self.rate
+            setattr(m, k, getattr(m, k) + g)
+        m.bounds()
         return h, float(ll.sum())
 
 
 def lanes_of(size: np.ndarray, lanes: int) -> list[np.ndarray]:
-    """Documents dealt to lanes, longest first to the shortest lane. There are no more lanes than the longest document
-    can be filled up with, so that the table of lanes stays within about twice the words."""
-    total, longest = int(size.sum()), int(size.max()) if len(size) else 0
-    if not total:
-        return []
-    heap = [(0, k) for k in range(min(lanes, len(size), -(-total // longest) + 1))]
+    """Documents dealt to lanes, longest first to the shortest lane; longer lanes first."""
+    heap = [(0, k) for k in range(min(lanes, len(size)))]
     got: list[list[int]] = [[] for _ in heap]
     for d in np.argsort(-size, kind="stable").tolist():
         n, k = heapq.heappop(heap)
         got[k].append(d)
         heapq.heappush(heap, (n + int(size[d]), k))
-    return [np.array(sorted(x)) for x in got if x]
-
-
-def laid_out(ids: np.ndarray, first: np.ndarray, lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, document of each word, whether it is a document's first), each (time, lanes); -1 where a lane has ended. Longer lanes first."""
-    size = np.diff(first)
-    dealt = lanes_of(size, lanes)
-    dealt.sort(key=lambda x: -int(size[x].sum()))
-    longest = int(size[dealt[0]].sum()) if dealt else 0
-    target = np.full((longest, len(dealt)), -1, np.int32)
-    given, doc, fresh = target.copy(), target.copy(), np.zeros(target.shape, bool)
-    for k, docs in enumerate(dealt):
-        n = size[docs]
-        total = int(n.sum())
-        upto = np.cumsum(n) - n
-        at = np.arange(total) + np.repeat(first[docs] - upto, n)
-        target[:total, k] = ids[at]
-        given[1:total, k] = ids[at][:-1]
-        begin = upto[n > 0]
-        given[begin, k] = start
-        fresh[begin, k] = True
-        doc[:total, k] = np.repeat(docs, n)
-    return given, target, doc, fresh
+    return sorted((np.array(sorted(x)) for x in got if x), key=lambda x: -int(size[x].sum()))
+
+
+class Packed:
+    """Documents in lanes, word after word: `before[t]` words come before time t, at which the first before[t + 1] - before[t]
+    lanes have one. ids, doc (whose word it is) and fresh (whether it is a document's first) in that order; `given` are the
+    words before, `start` at a document's first. It takes no more room than the words do, however unequal the lanes."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, lanes: int, start: int):
+        size = np.diff(first)
+        full = np.flatnonzero(size)
+        dealt = [full[x] for x in lanes_of(size[full], lanes)]
+        length = np.array([int(size[x].sum()) for x in dealt], np.int64)
+        longest = int(length[0]) if len(length) else 0
+        active = np.searchsorted(-length, -np.arange(longest), "left")
+        self.before = np.concatenate([[0], np.cumsum(active)])
+        n = int(self.before[-1])
+        self.ids, self.doc, self.given, self.fresh = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(n, bool)
+        for k, docs in enumerate(dealt):
+            m = size[docs]
+            upto = np.cumsum(m) - m
+            at = np.arange(int(m.sum())) + np.repeat(first[docs] - upto, m)
+            to = self.before[: len(at)] + k
+            word = ids[at]
+            self.ids[to] = word
+            self.given[to[1:]] = word[:-1]
+            self.given[to[upto]] = start
+            self.fresh[to[upto]] = True
+            self.doc[to] = np.repeat(docs, m)
 
 
 def fit(model: Model, ids: np.ndarray, first: np.ndarray, trainer: Trainer | None = None) -> float:
     """Trains on documents side by side; returns the log-likelihood met on the way."""
     trainer = trainer or Trainer(model)
     start = len(model.voc.freq)
-    given, target, _, fresh = laid_out(ids, first, TRAIN_LANES, start)
-    h, seen = np.zeros((given.shape[1] if given.size else 0, UNITS), np.float32), 0.0
-    for a in range(0, len(given), WINDOW):
-        g, t, f = given[a : a + WINDOW], target[a : a + WINDOW], fresh[a : a + WINDOW]
-        m = int((t[0] >= 0).sum())
-        h, ll = trainer.window(np.where(t[:, :m] >= 0, g[:, :m], start), t[:, :m], f[:, :m], h[:m])
+    size = np.diff(first)
+    count = -(-size // SEGMENT)
+    doc = np.repeat(np.arange(len(size)), count)
+    begin = first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+    packed = Packed(ids, np.append(begin, first[-1]), TRAIN_LANES, start)
+    before, seen = packed.before, 0.0
+    h = np.zeros((int(before[1]) if len(before) > 1 else 0, UNITS), model.u.dtype)
+    for a in range(0, len(before) - 1, WINDOW):
+        b = min(a + WINDOW, len(before) - 1)
+        m = int(before[a + 1] - before[a])
+        shape = (b - a, m)
+        given, target, fresh = np.full(shape, start, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+        for t in range(a, b):
+            x = slice(before[t], before[t + 1])
+            k = x.stop - x.start
+            given[t - a, :k], target[t - a, :k], fresh[t - a, :k] = packed.given[x], packed.ids[x], packed.fresh[x]
+        h, ll = trainer.window(given, target, fresh, h[:m])
         seen += ll
     return seen
 
@@ -251,24 +322,27 @@ def fit(model: Model, ids: np.ndarray, first: np.ndarray, trainer: Trainer | Non
 def log_likelihoods(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """Of every document, over all of its words."""
     out = np.zeros(len(first) - 1)
-    start = len(model.voc.freq)
-    given, target, doc, fresh = laid_out(ids, first, lanes, start)
-    h = np.zeros((given.shape[1] if given.size else 0, UNITS), np.float32)
-    active = (target >= 0).sum(1)
-    for a in range(0, len(given), WINDOW):
-        hs, ts, ds = [], [], []
-        for t in range(a, min(a + WINDOW, len(given))):
-            m = int(active[t])
-            h = h[:m]
-            f = fresh[t, :m]
-            if f.any():
-                h = np.where(f[:, None], np.float32(0), h)
-            h = model.step(given[t, :m], h)[0]
-            hs.append(h)
-            ts.append(target[t, :m])
-            ds.append(doc[t, :m])
-        ll = model.output(np.concatenate(hs), np.concatenate(ts))
-        out += np.bincount(np.concatenate(ds), ll, len(out))
+    packed = Packed(ids, first, lanes, len(model.voc.freq))
+    before, fresh = packed.before, packed.fresh
+    h, a = np.zeros((int(before[1]) if len(before) > 1 else 0, UNITS), np.float32), 0
+    while a < len(before) - 1:
+        b = min(max(a + 1, int(np.searchsorted(before, before[a] + SCORE_ROWS, "right")) - 1), len(before) - 1)
+        x = slice(int(before[a]), int(before[b]))
+        into = model.given(packed.given[x])
+        states = np.empty((len(into), UNITS), np.float32)
+        edges = (before[a : b + 1] - before[a]).tolist()
+        new = np.flatnonzero(fresh[x])
+        for i, j in zip(edges, edges[1:]):
+            h = h[: j - i]
+            if len(new) and new[0] < j:
+                k = np.searchsorted(new, j)
+                h = h.copy()
+                h[new[:k] - i] = 0
+                new = new[k:]
+            h = states[i:j] = model.step(into[i:j], h)[0]
+        ll = model.output(states, packed.ids[x])
+        out += np.bincount(packed.doc[x], ll, len(out))
+        a = b
     return out
 
 
@@ -324,7 +398,8 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     top = counts.where("byte IS NULL").orderBy(F.desc("n"), "word").limit(VOCAB).toArrow()  # the vocabulary's size
     total = counts.where("byte IS NULL").agg(F.sum("n")).first()[0] or 0
     n = top.column("n").to_numpy()
-    return Vocabulary(top.column("word").to_numpy().view(np.uint64), n, int(total - n.sum()), spelled)
+    n = n[: int(np.searchsorted(np.cumsum(n), COVER * total)) + 1]
+    return Vocabulary(top.column("word").to_numpy().view(np.uint64)[: len(n)], n, int(total - n.sum()), spelled)
 
 
 def _averaged(df: DataFrame, parts: int) -> tuple[np.ndarray, int] | None:
@@ -351,12 +426,12 @@ def trained(docs: DataFrame, voc: Vocabulary) -> Model:
     sc, model = docs.sparkSession.sparkContext, Model(voc)
     slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        now = sc.broadcast((voc, model.flat()))  # under 1 MB, by the size of the vocabulary
+        now = sc.broadcast((voc, model.flat()))  # 2 MB, by the size of the vocabulary
 
-        def run(batches, now=now):
+        def run(batches, now=now, k=k):
             voc, flat = now.value
             model, parts = Model(voc).load(flat), []
-            trainer, n = Trainer(model), 0
+            trainer, n = Trainer(model, RATE / (1 + k) ** 0.5), 0
 
             def learn():
                 ids, first = np.concatenate([p[0] for p in parts]), np.cumsum([0, *(s for p in parts for s in np.diff(p[1]))])
@@ -368,7 +443,7 @@ def trained(docs: DataFrame, voc: Vocabulary) -> Model:
                 raw, offsets = string_buffers(batch.column(0))
                 for a, b in doc_chunks(offsets):
                     parts.append(_encoded(voc, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:2])
-                if sum(len(p[0]) for p in parts) > 1 << 20:
+                if sum(len(p[0]) for p in parts) > TRAIN_WORDS:
                     n += learn()
             if parts:
                 n += learn()
@@ -389,7 +464,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     has 0 words, log-likelihood 0 and perplexity null. Repeated rows get equal scores (up to rounding of sums), a null
     doc_id stays null, other columns are ignored, and documents are never cut. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = integer_ids(docs).select("doc_id", "text")
     voc = vocabulary(docs)
     model = trained(docs, voc)
     now = docs.sparkSession.sparkContext.broadcast((voc, model.flat()))

@@ -1,11 +1,13 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from sparkloom.llm import language_model as L
-from sparkloom.llm.common import string_buffers, words_of
+from sparkloom.llm.common import hash_words, string_buffers, words_of
 
 
 def voc_of(texts):
@@ -23,12 +25,21 @@ def cyclic(n, seed=0):
 
 
 def one_by_one(model, ids, first):
-    out = []
+    """Log-likelihoods by the definitions, word by word in 64 bits."""
+    p = {k: getattr(model, k).astype(np.float64) for k in L.Model.NAMES}
+    voc, n, out = model.voc, L.UNITS, []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
     for a, b in zip(first, first[1:]):
-        h, ll, prev = np.zeros((1, L.UNITS), np.float32), 0.0, len(model.voc.freq)
+        h, ll, prev = np.zeros(n), 0.0, len(voc.freq)
         for t in ids[a:b]:
-            h = model.step(np.array([prev]), h)[0]
-            ll += float(model.output(h, np.array([t]))[0])
+            x, hu = p["e"][prev] @ p["w"] + p["b"], h @ p["u"]
+            r, z = sigmoid(x[:n] + hu[:n]), sigmoid(x[n : 2 * n] + hu[n : 2 * n])
+            c = np.tanh(x[2 * n :] + r * hu[2 * n :])
+            h = c + z * (h - c)
+            k = voc.cls[t]
+            members = np.flatnonzero(voc.cls == k)
+            logits, inner = p["wc"] @ h + p["bc"], p["wm"][members] @ h + p["bm"][members]
+            ll += logits[k] - np.log(np.exp(logits).sum()) + inner[list(members).index(t)] - np.log(np.exp(inner).sum())
             prev = t
         out.append(ll)
     return out
@@ -69,21 +80,22 @@ def test_learning_beats_frequencies():
     assert after > 0.5 * before
 
 
-def test_gradient_of_a_window(monkeypatch):
-    monkeypatch.setattr(L, "RATE", 0.0)
+def test_gradient_of_a_window():
     voc, raw, offsets = voc_of(cyclic(20))
     ids, _, _ = L._encoded(voc, raw, offsets)
     model = L.Model(voc)
     for k in L.Model.NAMES:
         setattr(model, k, getattr(model, k).astype(np.float64))
-    trainer = L.Trainer(model)
+    trainer = L.Trainer(model, 0.0)
     given, target, fresh = ids[:30].reshape(6, 5), ids[1:31].reshape(6, 5).copy(), np.zeros((6, 5), bool)
     fresh[3, 2], target[4:, 1] = True, -1
     h = np.random.default_rng(0).standard_normal((5, L.UNITS)) * 0.3
     run = lambda: trainer.window(given, target, fresh, h)[1]
     run()
-    d = {k: v.copy() for k, v in model.d.items()}
-    for k in ("u", "wc", "wm", "bc", "bm"):
+    d = {k: v.copy() for k, v in model.d.items()} | {"e": np.zeros_like(model.e)}
+    touched, g = trainer.d_e
+    d["e"][touched] = g
+    for k in L.Model.NAMES:
         a = getattr(model, k)
         i = np.unravel_index(np.abs(d[k]).argmax(), a.shape)
         v = a[i]
@@ -95,6 +107,62 @@ def test_gradient_of_a_window(monkeypatch):
         assert np.isclose((got[0] - got[1]) / 2e-5, d[k][i], rtol=1e-4), k
 
 
+def test_packed_lanes_hold_every_word_once():
+    r = random.Random(4)
+    size = np.array([r.choice([0, 1, 3, 40]) for _ in range(50)] + [700])
+    first = np.concatenate([[0], np.cumsum(size)])
+    ids = np.arange(first[-1])
+    p = L.Packed(ids, first, 8, -1)
+    assert sorted(p.ids) == list(ids) and p.before[-1] == len(ids)
+    assert all(first[d] <= i < first[d + 1] for i, d in zip(p.ids, p.doc))
+    assert all((g == -1 and f) if i == first[d] else (g == i - 1 and not f) for i, g, d, f in zip(p.ids, p.given, p.doc, p.fresh))
+    lanes = {}
+    for t in range(len(p.before) - 1):
+        for k, at in enumerate(range(p.before[t], p.before[t + 1])):
+            lanes.setdefault(k, []).append(at)
+    for x in lanes.values():  # a document's words follow each other in its lane
+        assert all(p.fresh[b] or p.ids[b] == p.ids[a] + 1 for a, b in zip(x, x[1:]))
+
+
+def test_long_documents_are_trained_on_whole(monkeypatch):
+    monkeypatch.setattr(L, "SEGMENT", 10)
+    texts = cyclic(20)
+    voc, raw, offsets = voc_of(texts)
+    ids, first, _ = L._encoded(voc, raw, offsets)
+    model, seen = L.Model(voc), []
+    plain = L.Trainer.window
+    monkeypatch.setattr(L.Trainer, "window", lambda self, given, target, fresh, h: seen.append(target[target >= 0]) or plain(self, given, target, fresh, h))
+    L.fit(model, ids, first)
+    assert sorted(np.concatenate(seen)) == sorted(ids)
+
+
+def test_whole_query_against_definitions(make):
+    """Vocabulary, spelling and score of every row, by dictionaries and one word at a time."""
+    texts = cyclic(60) + ["aa bb zz qux", "Zz QUX! zz", "", None, "été 東京 aa", "solo"]
+    docs = make(*enumerate(texts))
+    rows = {r.doc_id: r for r in L.score_documents(docs).collect()}
+    words = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower()) for t in texts]
+    counts = Counter(w for x in words for w in x)
+    voc = L.vocabulary(docs)
+    hashes = dict(zip(counts, hash_words(list(counts))))
+    want = dict(zip((hashes[w] for w in counts), counts.values()))
+    got = {h: voc.freq[i] - 1 for h, i in zip(voc.hashes, voc.ids)}
+    assert all(want[h] == n for h, n in got.items())
+    total = sum(counts.values())
+    kept = sorted(got.values(), reverse=True)
+    assert sum(kept) >= L.COVER * total > sum(kept[:-1]) and kept == sorted(counts.values(), reverse=True)[: len(kept)]
+    spelled = Counter(b for x in words for w in x for b in w.encode())
+    cost = lambda w: sum(np.log((spelled[b] + 1) / (spelled.total() + total + 257)) for b in w.encode()) + np.log((total + 1) / (spelled.total() + total + 257))
+    model = L.trained(docs, voc)
+    named = {h: i for h, i in zip(voc.hashes, voc.ids)}
+    for d, x in enumerate(words):
+        ids = np.array([named.get(hashes[w], 0) for w in x], np.int64)
+        ll = (one_by_one(model, ids, [0, len(ids)])[0] if len(ids) else 0) + sum(cost(w) for w, i in zip(x, ids) if i == 0)
+        assert rows[d].n_words == len(x) and rows[d].n_unknown == int((ids == 0).sum())
+        assert np.isclose(rows[d].log_likelihood, ll, rtol=1e-4, atol=1e-3)
+        assert rows[d].perplexity is None if not x else np.isclose(rows[d].perplexity, np.exp(-ll / len(x)), rtol=1e-3)
+
+
 def test_table(spark, odd, none, make):
     docs = odd.unionByName(make(*[(100 + i, t) for i, t in enumerate(cyclic(300))]))
     rows = L.score_documents(docs).collect()
