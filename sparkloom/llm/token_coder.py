@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 1 << 14
 #: Text tokenized at once, and blocks coded side by side.
-TEXT_BYTES, LANES = 4 << 20, 256
+TEXT_BYTES, LANES = 1 << 20, 256
 #: Distinct pieces that a worker remembers; beyond it starts anew, which costs time only.
 PIECES = 1 << 19
 #: Bits of the coder's total; the least share of order 0, which every id has; how much one occurrence adds to its frequency.
@@ -209,19 +210,24 @@ _FULL, _DIGIT = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def code(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
-    """Codes blocks side by side, one a lane."""
-    size = np.array([len(b) for b, _ in parts])
+def code(parts: Iterable[tuple[np.ndarray, np.ndarray]], sizes: list[int] | None = None) -> list[bytes]:
+    """Codes blocks side by side, one a lane. With their sizes given, the intervals of one block at a time are asked for."""
+    if sizes is None:
+        parts = list(parts)
+        sizes = [len(b) for b, _ in parts]
+    size, n = np.array(sizes), len(sizes)
     order = np.argsort(-size, kind="stable")
+    lane = np.empty(n, np.int64)
+    lane[order] = np.arange(n)
     longest = int(size.max())
-    begin = np.zeros((longest, len(parts)), np.uint32)
-    width = np.zeros((longest, len(parts)), np.uint32)
-    for lane, k in enumerate(order):
-        begin[: size[k], lane], width[: size[k], lane] = parts[k]
-    active = len(parts) - np.searchsorted(size[order][::-1], np.arange(longest), "right")
-    low, span = np.zeros(len(parts), np.uint64), np.full(len(parts), _FULL)
-    out = np.zeros((longest + 2, len(parts)), np.uint32)
-    used = np.zeros(len(parts), np.int64)
+    begin = np.zeros((longest, n), np.uint32)
+    width = np.zeros((longest, n), np.uint32)
+    for k, part in enumerate(parts):
+        begin[: size[k], lane[k]], width[: size[k], lane[k]] = part
+    active = n - np.searchsorted(size[order][::-1], np.arange(longest), "right")
+    low, span = np.zeros(n, np.uint64), np.full(n, _FULL)
+    out = np.zeros((longest + 2, n), np.uint32)
+    used = np.zeros(n, np.int64)
     shift = np.uint64(TOTAL_BITS)
     for t in range(longest):
         m = int(active[t])
@@ -237,14 +243,11 @@ def code(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
             out[used[k], k] = (a >> _DIGIT).astype(np.uint32)
             used[k] += 1
             lo[k], sp[k] = a << _DIGIT, w << _DIGIT
-    lanes = np.arange(len(parts))
+    lanes = np.arange(n)
     for digit in (low >> _DIGIT, low & _LOW):
         out[used, lanes] = digit.astype(np.uint32)
         used += 1
-    done: list[bytes] = [b""] * len(parts)
-    for lane, k in enumerate(order):
-        done[k] = out[: used[lane], lane].astype(">u4").tobytes()
-    return done
+    return [out[: used[at], at].astype(">u4").tobytes() for at in lane]
 
 
 def decode(payload: bytes, n: int, n_ids: int) -> np.ndarray:
@@ -328,7 +331,7 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int
         room, full, blocks = block_tokens, [], []
 
         def out():
-            coded = code([intervals(b, tok.n_ids) for b in blocks]) if blocks else []
+            coded = code((intervals(b, tok.n_ids) for b in blocks), list(map(len, blocks))) if blocks else []
             rows = [(*map(list, zip(*p)), len(b), 4 * len(b), zlib.crc32(b.astype("<u4").tobytes()), c) for p, b, c in zip(full, blocks, coded)]
             full.clear()
             blocks.clear()
