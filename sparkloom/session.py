@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -29,23 +30,56 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset and Spark runs on
+    this machine alone, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loom-"))
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
+            own = tempfile.mkdtemp(prefix="loom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir("file://" + own)
         root = context.getCheckpointDir().get()
     return root.rstrip("/")
 
 
+_STORED: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it again, which ends its lineage."""
+    """Writes df once as a table in the shared folder and reads it again, which ends its lineage. The table is deleted when
+    the driver ends, or before by forget()."""
     path = f"{scratch(df.sparkSession)}/loom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by stored() that no later step reads."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            for path in [p for p in _STORED if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
+                _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _STORED.pop(path)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_STORED):
+        try:
+            _delete(path)
+        except Exception:  # the session, and with it the way to the folder, may be gone
+            _STORED.pop(path, None)
+
+
 #: Estimated bytes up to which a counted side is broadcast.
 BROADCAST_BYTES = 32 << 20
 
