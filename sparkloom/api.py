@@ -54,13 +54,24 @@ class ProjectGraph:
         """A full index; force parses every file again."""
         return self.sync(rebuild=force)
 
-    def sync(self, rebuild: bool = False) -> dict[str, int]:
+    def index_files(self, paths: list[str]) -> dict[str, int]:
+        """Takes in the named files, relative to the root, and no others: those whose contents haven't changed aren't parsed."""
+        return self.sync(only=[str(p) for p in paths])
+
+    def index_file(self, path: str) -> dict[str, int]:
+        return self.index_files([path])
+
+    def reconcile(self) -> dict[str, int]:
+        """A sync if sizes, times or names say that something changed since the last one; what a server does when a client comes."""
+        return {"added": 0, "modified": 0, "removed": 0} if self.changed_files().isEmpty() else self.sync()
+
+    def sync(self, rebuild: bool = False, only: list[str] | None = None) -> dict[str, int]:
         with self._lock:
             options = self.options
             ignore = Path(self.root, ".gitignore")
             if not options.ignore_file and ignore.exists():
                 options = scan.ScanOptions(options.include, options.exclude, options.extensions, ignore.read_text(), options.respect_ignore)
-            return self.store.sync(self.root, options, rebuild)
+            return self.store.sync(self.root, options, rebuild, only)
 
     def changed_files(self) -> DataFrame:
         return self.store.pending(self.root, self.options)
@@ -86,6 +97,7 @@ class ProjectGraph:
 
     nodes = property(lambda self: self.store.nodes)
     edges = property(lambda self: self.store.edges)
+    edges_in = property(lambda self: self.store.edges_in)
     files = property(lambda self: self.store.files)
     refs = property(lambda self: self.store.refs)
 
@@ -131,38 +143,48 @@ class ProjectGraph:
 
     # -- graph --
 
-    def _depth(self, one: DataFrame, node: str, depth: int, direction: str) -> DataFrame:
-        """One hop from the merged relation; further hops over its edges and names alike."""
-        if depth <= 1:
-            return one
-        a, b = ("target", "caller") if direction == "in" else ("source", "callee")
-        adj = one.select(F.col(a).alias("a"), F.col(b).alias("b"))
-        return graph.reach(adj, graph.from_one(self.spark, node), depth).where("depth > 0").select("id", "depth")
+    def _ids(self, nodes: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in nodes], "id string")
+
+    def _callers(self, ids: DataFrame) -> DataFrame:
+        return graph.callers(self.nodes, self.edges_in, self.refs, ids)
+
+    def _callees(self, ids: DataFrame) -> DataFrame:
+        return graph.callees(self.nodes, self.edges, self.refs, ids)
 
     def callers(self, node: str, depth: int = 1) -> DataFrame:
-        found = graph.callers(self.nodes, self.edges, self.refs)
-        return found.where(F.col("target") == node).select(F.col("caller").alias("id"), "via") if depth <= 1 else self._depth(found, node, depth, "in")
+        if depth <= 1:
+            return self._callers(self._ids([node])).select(F.col("caller").alias("id"), "via")
+        step = lambda ids, n: self._callers(ids).select(F.col("target").alias("a"), F.col("caller").alias("b"))
+        return graph.reach_by(step, graph.from_one(self.spark, node), depth).where("depth > 0").select("id", "depth")
 
     def callees(self, node: str, depth: int = 1) -> DataFrame:
-        found = graph.callees(self.nodes, self.edges, self.refs)
-        return found.where(F.col("source") == node).select(F.col("callee").alias("id"), "via") if depth <= 1 else self._depth(found, node, depth, "out")
+        if depth <= 1:
+            return self._callees(self._ids([node])).select(F.col("callee").alias("id"), "via")
+        step = lambda ids, n: self._callees(ids).select(F.col("source").alias("a"), F.col("callee").alias("b"))
+        return graph.reach_by(step, graph.from_one(self.spark, node), depth).where("depth > 0").select("id", "depth")
 
     def callers_batch(self, nodes: list[str]) -> DataFrame:
-        ids = self.spark.createDataFrame([(n,) for n in nodes], "target string")
-        return graph.callers(self.nodes, self.edges, self.refs).join(ids, "target", "left_semi")
+        return self._callers(self._ids(nodes))
 
     def callees_batch(self, nodes: list[str]) -> DataFrame:
-        ids = self.spark.createDataFrame([(n,) for n in nodes], "source string")
-        return graph.callees(self.nodes, self.edges, self.refs).join(ids, "source", "left_semi")
+        return self._callees(self._ids(nodes))
 
     def impact(self, node: str, depth: int = 3) -> DataFrame:
-        return graph.traverse(self.edges, node, depth, "both")
+        return graph.traverse(self.edges, node, depth, "both", edges_in=self.edges_in)
 
     def impact_risk(self, node: str, depth: int = 3) -> DataFrame:
         return graph.risk(graph.touched_edges(self.edges, self.impact(node, depth), depth)).orderBy(F.desc("degree"), "id")
 
     def call_graph(self, node: str, depth: int = 2) -> DataFrame:
-        return graph.traverse(self.edges, node, depth, "both", graph.USES)
+        return graph.traverse(self.edges, node, depth, "both", graph.USES, self.edges_in)
+
+    def neighbourhood(self, node: str, depth: int = 2) -> DataFrame:
+        """(section, id, detail): what leads to a symbol and where it leads, its callers and callees to that depth, its types."""
+        way = lambda section, d: graph.traverse(self.edges, node, depth, d, edges_in=self.edges_in).where("depth > 0").select(F.lit(section).alias("section"), "id", F.col("depth").cast("string").alias("detail"))
+        deep = lambda section, df: df.select(F.lit(section).alias("section"), "id", F.col("depth").cast("string").alias("detail"))
+        types = self.type_hierarchy(node).select(F.lit("types").alias("section"), F.col("relative").alias("id"), F.col("kind").alias("detail"))
+        return way("incoming", "in").unionByName(way("outgoing", "out")).unionByName(deep("callers", self.callers(node, max(depth, 2)))).unionByName(deep("callees", self.callees(node, max(depth, 2)))).unionByName(types)
 
     def find_path(self, start: str, end: str, kinds: list[str] | None = None, max_nodes: int = 20) -> DataFrame:
         return graph.find_path(self.edges, start, end, max_nodes, kinds)
@@ -171,7 +193,7 @@ class ProjectGraph:
         return graph.hierarchy(self.edges).where(F.col("id") == node)
 
     def file_dependencies(self, path: str, levels: int | None = None) -> DataFrame:
-        return graph.file_closure(self.nodes, self.edges, levels).where(F.col("file") == path)
+        return graph.file_closure(self.nodes, self.edges, levels, self.spark.createDataFrame([(path,)], "path string"))
 
     def file_dependents(self, path: str) -> DataFrame:
         return graph.file_dependents(self.nodes, self.edges).where(F.col("file") == path)
@@ -195,7 +217,7 @@ class ProjectGraph:
     # -- composed --
 
     def explore(self, query: str, limit: int = 20, **filters) -> DataFrame:
-        return context.explore(self.nodes, self.edges, self.refs, query, limit, **filters)
+        return context.explore(self.nodes, self.edges, self.refs, query, limit, self.edges_in, **filters)
 
     def context(self, node: str, depth: int = 3) -> DataFrame:
         return context.focal(self.nodes, self.edges, node, depth)
@@ -203,14 +225,21 @@ class ProjectGraph:
     def task_context(self, query: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(nodes, edges, code blocks) of a task."""
         nodes, edges = context.task(self.nodes, self.edges, query)
-        paths = nodes.select(F.col("file_path").alias("path")).distinct()
-        return nodes, edges, context.code_blocks(nodes, scan.read_sources(self.spark, self.root, self.options).join(paths, "path", "left_semi"))
+        first = nodes.where("kind <> 'file'").orderBy("file_path", "start_line", "id").limit(10)
+        paths = [r.file_path for r in first.select("file_path").distinct().collect()]  # of the ten blocks that are shown
+        return nodes, edges, context.code_blocks(nodes, scan.read_sources(self.spark, self.root, self.options, only=paths))
 
     # -- state --
 
     def stats(self) -> DataFrame:
         return aggregates.totals(self.nodes, self.edges, self.files, self.refs)
 
+    def set_value(self, key: str, value: str) -> None:
+        self.store.set_value(key, value)
+
+    def value(self, key: str) -> str | None:
+        return self.store.value(key)
+
     def last_indexed_at(self) -> int | None:
         return self.store.metadata().get("indexed_at")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sparkloom.functions import text as fn
 
@@ -40,3 +41,10 @@ def directories(files: DataFrame, collapse: int = 10) -> DataFrame:
     named = files.select(fn.directory(F.col("path")).alias("dir"), fn.base_name(F.col("path")).alias("file"), "language")
     got = named.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"), F.sort_array(F.collect_set("language")).alias("languages"), F.sort_array(F.collect_list("file")).alias("names"))
     return got.withColumn("names", F.when(F.col("n_files") <= collapse, F.col("names")))
+
+
+def unique_files(found: DataFrame, rank: str = "place") -> DataFrame:
+    """(file_path, place) of the files of search results, each at the place of its first result, places from 0."""
+    first = found.groupBy("file_path").agg(F.min(rank).alias("_first"))
+    # over the files of one page of results
+    return first.select("file_path", (F.row_number().over(W.orderBy("_first", "file_path")) - 1).alias("place"))

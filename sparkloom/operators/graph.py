@@ -6,7 +6,7 @@ stays short and a lost executor costs one level at most.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,42 +22,63 @@ USES = ("calls", "references")
 HOPS = 3
 #: Levels after which what has been seen is written as one table.
 COMPACT = 8
+#: Ids that are asked for by value, which a scan of a sorted table uses to skip what can't hold them; more are joined.
+POINTS = 256
 
 
 def adjacency(edges: DataFrame, direction: str = "out", kinds: Sequence[str] | None = None) -> DataFrame:
     """Distinct (a, b): from a one gets to b in one hop. direction is out, in or both."""
-    if kinds:
-        edges = edges.where(F.col("kind").isin(*kinds))
-    out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    return (out if direction == "out" else back if direction == "in" else out.unionByName(back)).where("a <> b").distinct()
+    return _hops(edges, edges, direction, kinds).distinct()
 
 
-def reach(adj: DataFrame, starts: DataFrame, max_depth: int | None = None, parents: bool = False) -> DataFrame:
+def _hops(edges: DataFrame, edges_in: DataFrame, direction: str, kinds: Sequence[str] | None) -> DataFrame:
+    """(a, b) of every edge, by source from edges and by target from edges_in."""
+    ok = F.col("kind").isin(*kinds) if kinds else F.lit(True)
+    out = edges.where(ok).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    back = edges_in.where(ok).select(F.col("target").alias("a"), F.col("source").alias("b"))
+    return (out if direction == "out" else back if direction == "in" else out.unionByName(back)).where("a <> b")
+
+
+def at_ids(df: DataFrame, column: str, ids: DataFrame, count: int | None = None) -> DataFrame:
+    """Rows of df whose column is among the id column of ids: by value if they are few, else by a join."""
+    count = ids.count() if count is None else count
+    if count <= POINTS:
+        return df.where(F.col(column).isin([r.id for r in ids.collect()]))
+    return df.join(small(ids.select(F.col("id").alias("_at")).distinct(), 64), F.col(column) == F.col("_at"), "left_semi")
+
+
+def reach_by(step: Callable[[DataFrame, int], DataFrame], starts: DataFrame, max_depth: int | None = None, parents: bool = False) -> DataFrame:
     """(root, id, depth[, parent]): breadth-first from every (root, id) of starts, depth the least number of hops.
 
+    step gives (a, b), the hops from each id of a table with as many rows as its second argument says, and maybe others.
     All roots advance together, one join a level, until a level is empty or max_depth is reached. parents: the least id of
     the level before that leads to a node.
     """
-    adj = stored(adj, "adjacency")
     extra = [F.lit(None).cast("string").alias("parent")] if parents else []
     level = stored(starts.select("root", "id").distinct().select("root", "id", F.lit(0).alias("depth"), *extra), "level")
-    seen, depth = level, 0
-    while max_depth is None or depth < max_depth:
+    seen, depth, n = level, 0, level.count()
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        step = small(level, 128).join(adj, F.col("id") == F.col("a"))
+        # the level is known to be small or the join shuffles
+        hop = (F.broadcast(level) if n * 128 <= 32 << 20 else level).join(step(level.select("id"), n), F.col("id") == F.col("a"))
         key = ["root", F.col("b").alias("id")]
-        new = step.groupBy(*key).agg(F.min("id").alias("parent")) if parents else step.select(*key).distinct()
+        new = hop.groupBy(*key).agg(F.min("id").alias("parent")) if parents else hop.select(*key).distinct()
         new = new.join(seen.select("root", "id"), ["root", "id"], "left_anti")
         level = stored(new.select("root", "id", F.lit(depth).alias("depth"), *(["parent"] if parents else [])), "level")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+        n = level.count()
+        if n:
+            seen = seen.unionByName(level)
         if depth % COMPACT == 0:
             seen = stored(seen, "seen")
     return seen
 
 
+def reach(adj: DataFrame, starts: DataFrame, max_depth: int | None = None, parents: bool = False) -> DataFrame:
+    """reach_by over an adjacency, written once as it is read for every level."""
+    adj = stored(adj, "adjacency")
+    return reach_by(lambda ids, n: adj, starts, max_depth, parents)
+
+
 def closure(adj: DataFrame, starts: DataFrame) -> DataFrame:
     """(root, id) of everything that (root, id) of starts lead to, themselves included; HOPS hops between two writes."""
     now, n = stored(starts.select("root", "id").distinct(), "closure"), -1
@@ -73,9 +94,14 @@ def from_one(spark, node: str) -> DataFrame:
     return spark.createDataFrame([(node, node)], "root string, id string")
 
 
-def traverse(edges: DataFrame, start: str, max_depth: int | None = None, direction: str = "out", kinds: Sequence[str] | None = None) -> DataFrame:
-    """(id, depth) from one start, itself at depth 0."""
-    return reach(adjacency(edges, direction, kinds), from_one(edges.sparkSession, start), max_depth).select("id", "depth")
+def traverse(edges: DataFrame, start: str, max_depth: int | None = None, direction: str = "out", kinds: Sequence[str] | None = None, edges_in: DataFrame | None = None) -> DataFrame:
+    """(id, depth) from one start, itself at depth 0. edges_in are the same edges sorted by target, where there is such a copy:
+    each level then reads what stands at its ids. Otherwise an adjacency is made once if there is no bound on the depth."""
+    one = from_one(edges.sparkSession, start)
+    if edges_in is None and max_depth is None:
+        return reach(adjacency(edges, direction, kinds), one).select("id", "depth")
+    hops = _hops(edges, edges if edges_in is None else edges_in, direction, kinds)
+    return reach_by(lambda ids, n: at_ids(hops, "a", ids, n) if n <= POINTS else hops, one, max_depth).select("id", "depth")
 
 
 def touched_edges(edges: DataFrame, visited: DataFrame, max_depth: int | None, direction: str = "both", kinds: Sequence[str] | None = None) -> DataFrame:
@@ -206,8 +232,11 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").select("id", *map(zero, ("out_degree", "in_degree", "fan_out", "fan_in")))
 
 
-def call_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, call_depth) of every node: the greatest number of hops from which it is called."""
+def call_depths(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, call_depth) of every node, or of the ids asked for: the greatest number of hops from which it is called.
+
+    For all nodes that is as many rows on the way as pairs of nodes that lead to each other."""
+    nodes = nodes if ids is None else at_ids(nodes, "id", ids)
     starts = nodes.select(F.col("id").alias("root"), "id")
     called = edges.where("kind = 'calls'").select(F.col("target").alias("id")).distinct()
     found = reach(adjacency(edges, "in", ["calls"]), starts.join(called, "id", "left_semi"))
@@ -241,17 +270,27 @@ def with_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(at.select(F.col("id").alias("source"), F.col("file_path").alias("source_file")), "source").join(at.select(F.col("id").alias("target"), F.col("file_path").alias("target_file")), "target")
 
 
-def file_dependencies(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ("imports", "references")) -> DataFrame:
-    """(file, depends_on, n_edges) between different files."""
-    found = with_files(edges.where(F.col("kind").isin(*kinds)), nodes).where("source_file <> target_file")
-    return found.groupBy(F.col("source_file").alias("file"), F.col("target_file").alias("depends_on")).agg(F.count(F.lit(1)).alias("n_edges"))
+def file_dependencies(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ("imports", "references"), files: DataFrame | None = None) -> DataFrame:
+    """(file, depends_on, n_edges) between different files; files (path): of these only."""
+    edges = edges.where(F.col("kind").isin(*kinds))
+    if files is None:
+        found = with_files(edges, nodes)
+    else:
+        own = stored(at_ids(nodes, "file_path", files.select(F.col("path").alias("id"))).select("id", "file_path"), "own")
+        found = with_files(at_ids(edges, "source", own.select("id")), nodes)
+    return found.where("source_file <> target_file").groupBy(F.col("source_file").alias("file"), F.col("target_file").alias("depends_on")).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def file_closure(nodes: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
-    """(file, depends_on, level): dependencies through other files, all levels by default."""
-    direct = stored(file_dependencies(nodes, edges).select(F.col("file").alias("a"), F.col("depends_on").alias("b")), "files")
-    starts = direct.select(F.col("a").alias("root"), F.col("a").alias("id")).distinct()
-    return reach(direct, starts, levels).where("depth > 0").select(F.col("root").alias("file"), F.col("id").alias("depends_on"), F.col("depth").alias("level"))
+def file_closure(nodes: DataFrame, edges: DataFrame, levels: int | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(file, depends_on, level): dependencies through other files, all levels by default; files (path): of these only, level
+    by level over the files that are met."""
+    if files is None:
+        direct = stored(file_dependencies(nodes, edges).select(F.col("file").alias("a"), F.col("depends_on").alias("b")), "files")
+        found = reach(direct, direct.select(F.col("a").alias("root"), F.col("a").alias("id")).distinct(), levels)
+    else:
+        step = lambda ids, n: file_dependencies(nodes, edges, files=ids.select(F.col("id").alias("path"))).select(F.col("file").alias("a"), F.col("depends_on").alias("b"))
+        found = reach_by(step, files.select(F.col("path").alias("root"), F.col("path").alias("id")), levels)
+    return found.where("depth > 0").select(F.col("root").alias("file"), F.col("id").alias("depends_on"), F.col("depth").alias("level"))
 
 
 def file_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -278,15 +317,18 @@ def risk(subgraph: DataFrame, high: int = 10, medium: int = 3) -> DataFrame:
 # ---- callers and callees: resolved edges, and names that aren't resolved yet ----
 
 
-def definition_of_imports(nodes: DataFrame) -> DataFrame:
-    """(id, definition) of every import node with a namesake in another file: the first by file, line and id.
+def definition_of_imports(nodes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, definition) of every import node, or of those asked for, with a namesake in another file: the first by file, line and id.
 
     Definitions are first cut to the best two files of each name, so a common name doesn't multiply."""
+    imports = nodes.where("kind = 'import'").select("id", "name", "file_path")
     defs = nodes.where(~F.col("kind").isin("import", "file"))
+    if ids is not None:
+        imports = stored(at_ids(imports, "id", ids), "imports")
+        defs = at_ids(defs, "name", imports.select(F.col("name").alias("id")).distinct())
     per_file = defs.groupBy("name", F.col("file_path").alias("_f")).agg(F.min(F.struct("start_line", "id")).alias("_d"))
     best = per_file.withColumn("_n", F.row_number().over(W.partitionBy("name").orderBy("_f"))).where("_n <= 2")
-    found = nodes.where("kind = 'import'").select("id", "name", "file_path").join(best, "name").where("_f <> file_path")
-    return found.groupBy("id").agg(F.min_by("_d.id", "_f").alias("definition"))
+    return imports.join(best, "name").where("_f <> file_path").groupBy("id").agg(F.min_by("_d.id", "_f").alias("definition"))
 
 
 def _named_refs(refs: DataFrame) -> DataFrame:
@@ -295,23 +337,39 @@ def _named_refs(refs: DataFrame) -> DataFrame:
     return refs.select("from_node_id", "file_path", "line", F.explode(names).alias("_name"))
 
 
-def callers(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
-    """(target, caller, via) of every node, via edge or name, an edge being preferred. An import's callers are its definition's.
+def callers(nodes: DataFrame, edges: DataFrame, refs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(target, caller, via) of every node, or of the ids asked for, via edge or name, an edge being preferred. An import's
+    callers are its definition's. edges are best those sorted by target if ids are given.
 
     By name: a reference that has the target's name, whole or after the last dot; a special method's only within its file.
     """
-    moved = definition_of_imports(nodes)
-    asked = nodes.where("kind <> 'file'").select("id", "name", "file_path").join(moved, "id", "left").select(F.col("id").alias("target"), F.coalesce("definition", "id").alias("meant"))
-    direct = edges.where(F.col("kind").isin(*USES)).select(F.col("target").alias("meant"), F.col("source").alias("caller"), F.lit("edge").alias("via"))
-    named = _named_refs(refs).join(nodes.where("kind <> 'file'").select(F.col("id").alias("meant"), "name", F.col("file_path").alias("_f")), F.col("_name") == F.col("name"))
+    symbols = nodes.where("kind <> 'file'").select("id", "name", "file_path")
+    chosen = symbols if ids is None else at_ids(symbols, "id", ids)
+    asked = chosen.join(definition_of_imports(nodes, ids), "id", "left").select(F.col("id").alias("target"), F.coalesce("definition", "id").alias("meant"))
+    direct = edges.where(F.col("kind").isin(*USES))
+    if ids is not None:
+        asked = stored(asked, "asked")
+        wanted = stored(asked.select(F.col("meant").alias("id")).distinct(), "wanted")
+        n = wanted.count()
+        direct, symbols = at_ids(direct, "target", wanted, n), at_ids(symbols, "id", wanted, n)
+        symbols = small(symbols, 128)
+    direct = direct.select(F.col("target").alias("meant"), F.col("source").alias("caller"), F.lit("edge").alias("via")).distinct()
+    meant = symbols.select(F.col("id").alias("meant"), "name", F.col("file_path").alias("_f"))
+    named = _named_refs(refs).select("from_node_id", "file_path", "_name").distinct().join(meant, F.col("_name") == F.col("name"))
     named = named.where(~F.col("name").isin(*fn.SPECIAL_METHODS) | (F.col("file_path") == F.col("_f"))).select("meant", F.col("from_node_id").alias("caller"), F.lit("name").alias("via"))
     best = direct.unionByName(named).groupBy("meant", "caller").agg(F.min("via").alias("via"))
     return asked.join(best, "meant").where("caller <> target AND caller <> meant").select("target", "caller", "via")
 
 
-def callees(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
+def callees(nodes: DataFrame, edges: DataFrame, refs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(source, callee, via): the other way round; by name for references without a dot."""
-    direct = edges.where(F.col("kind").isin(*USES)).select("source", F.col("target").alias("callee"), F.lit("edge").alias("via"))
-    plain = refs.where(~F.col("reference_name").contains(".")).select(F.col("from_node_id").alias("source"), F.col("reference_name").alias("name"))
+    direct, plain = edges.where(F.col("kind").isin(*USES)), refs.where(~F.col("reference_name").contains("."))
+    if ids is not None:
+        n = ids.count()
+        direct, plain = at_ids(direct, "source", ids, n), at_ids(plain, "from_node_id", ids, n)
+    direct = direct.select("source", F.col("target").alias("callee"), F.lit("edge").alias("via"))
+    plain = plain.select(F.col("from_node_id").alias("source"), F.col("reference_name").alias("name")).distinct()
+    if ids is not None:
+        plain = small(stored(plain, "plain"), 128)
     named = plain.join(nodes.where("kind <> 'file'").select(F.col("id").alias("callee"), "name"), "name").select("source", "callee", F.lit("name").alias("via"))
     return direct.unionByName(named).where("source <> callee").groupBy("source", "callee").agg(F.min("via").alias("via"))

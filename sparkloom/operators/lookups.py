@@ -103,3 +103,19 @@ def list_files(files: DataFrame, prefix: str = "", suffixes: Sequence[str] = (),
     if suffixes:
         files = files.where(reduce(lambda a, b: a | b, (F.col("path").endswith(s) for s in suffixes)))
     return files.orderBy("path").limit(limit)
+
+
+#: Parts of a generated file's name, and languages whose symbols have nothing below them.
+GENERATED = (".pb.", "_pb2.py", "_pb2_grpc.py", ".grpc.", ".gen.", "_gen.", ".generated.", "_generated.", "grpc_", "proto_")
+CONFIG_LANGUAGES = ("terraform", "yaml", "properties", "nix", "solidity")
+
+
+def is_generated(path: Column) -> Column:
+    """Whether a file's name says that a tool wrote it."""
+    name = F.lower(fn.base_name(path))
+    return reduce(lambda a, b: a | b, (name.contains(x) for x in GENERATED))
+
+
+def is_config_leaf(language: Column) -> Column:
+    """Whether a symbol is an entry of a configuration, without anything below it."""
+    return F.coalesce(language.isin(*CONFIG_LANGUAGES), F.lit(False))

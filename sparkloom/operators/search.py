@@ -136,7 +136,14 @@ def fuzzy(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     ok = matching(kinds=q.kinds, languages=q.languages, paths=q.paths)
     if not q.text:
         return nodes.where(ok).orderBy("name", "id").limit(limit).withColumn("score", F.lit(0.0))
-    return bm25(nodes, list(COLUMNS), q.text.split(), require_all=False).where(ok).orderBy("rank", "id").limit(limit).withColumn("score", F.abs("rank")).drop("rank")
+    got = bm25(nodes, list(COLUMNS), q.text.split(), require_all=False).where(ok).orderBy("rank", "id").limit(limit).withColumn("score", F.abs("rank")).drop("rank")
+    return containing(nodes.where(ok), q.text, limit) if got.isEmpty() else got
+
+
+def containing(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """The step after ranked search found nothing: names, qualified names or docstrings with the whole text anywhere in them, whatever its case; score 0.5."""
+    has = reduce(lambda a, b: a | b, (F.coalesce(F.lower(F.col(c)).contains(text.lower()), F.lit(False)) for c in ("name", "qualified_name", "docstring") if c in nodes.columns))
+    return nodes.where(has).orderBy("name", "id").limit(limit).withColumn("score", F.lit(0.5))
 
 
 def prose(nodes: DataFrame, sentence: str) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from sparkloom.functions import display
 from sparkloom.functions import text as fn
 from sparkloom.operators import aggregates, graph, lookups, mutations, resolve, search
 from sparkloom.plans import context
@@ -327,9 +329,16 @@ def q_grf_call_graph(g):
     return graph.traverse(g.edges, _hub(g), 2, "both", graph.USES)
 
 
-@query()
+@query("g_edges", f""", adj AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WHERE kind IN ({CALLS}) AND source <> target),
+kids AS (SELECT a, list(b ORDER BY b DESC) AS k FROM adj GROUP BY a),
+d AS (SELECT [{{'id': {HUB}, 'depth': 0}}] AS todo, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS INT) AS depth
+  UNION ALL SELECT CASE WHEN list_contains(seen, p.id) OR p.depth >= 4 OR k IS NULL THEN rest ELSE list_concat(rest, list_transform(k, lambda x: {{'id': x, 'depth': p.depth + 1}})) END,
+    CASE WHEN list_contains(seen, p.id) THEN seen ELSE list_append(seen, p.id) END, CASE WHEN NOT list_contains(seen, p.id) THEN p.id END, p.depth
+  FROM (SELECT todo[-1] AS p, todo[:-2] AS rest, seen FROM d WHERE len(todo) > 0) LEFT JOIN kids ON a = p.id)
+SELECT id, depth, CAST(len(seen) - 1 AS INT) AS position FROM d WHERE id IS NOT NULL""", True)
 def q_grf_dfs(g):
-    return graph.depth_first(g.edges, _hub(g), 4, "out", graph.USES)
+    """Depth first with a stack of its own: the SQL goes one step a row."""
+    return graph.depth_first(g.edges, _hub(g), 4, "out", ["calls", "references", "imports"])
 
 
 @query("g_edges", _bfs_sql("out", 4, CALLS) + """, par AS (SELECT y.id, y.depth, min(x.id) AS parent FROM v y JOIN adj ON adj.b = y.id JOIN v x ON x.id = adj.a AND x.depth = y.depth - 1 GROUP BY y.id, y.depth),
@@ -355,9 +364,15 @@ def q_grf_cycles_scc(g):
 ADJ = ", adj AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WHERE kind IN ('imports', 'calls') AND source <> target)"
 
 
-@query("g_edges", ADJ + " SELECT x.a || ' > ' || x.b AS cycle FROM adj x JOIN adj y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b")
+BACK = ", back AS (SELECT source, target, kind FROM g_edges UNION ALL SELECT target, source, kind FROM g_edges WHERE kind = 'calls' AND line = 2)"
+
+
+@query("g_edges", BACK + ADJ.replace("g_edges", "back") + " SELECT x.a || ' > ' || x.b AS cycle FROM adj x JOIN adj y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b")
 def q_grf_cycles_len2(g):
-    return graph.simple_cycles(g.edges, 2).select(F.array_join("cycle", " > ").alias("cycle"))
+    """Some calls are answered by calls back, as the tables have no pair that calls each other."""
+    edges = g.edges.select("source", "target", "kind")
+    back = g.edges.where("kind = 'calls' AND line = 2").select(F.col("target").alias("source"), F.col("source").alias("target"), "kind")
+    return graph.simple_cycles(edges.unionByName(back), 2).select(F.array_join("cycle", " > ").alias("cycle"))
 
 
 @query("g_edges", ADJ + " SELECT x.a || ' > ' || x.b || ' > ' || y.b AS cycle FROM adj x JOIN adj y ON y.a = x.b JOIN adj z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b")
@@ -570,7 +585,13 @@ def q_fn_segments(g):
 STOP = ", ".join(f"'{w}'" for w in sorted(fn.STOP_WORDS))
 
 
-@query("", f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x, i: len(x) > 1 AND x NOT IN ({STOP}) AND list_position(regexp_extract_all(lower(text), '[a-z0-9]+'), x) = i), ' ') AS words FROM conversations WHERE NOT regexp_matches(lower(text), '(^|[^a-z0-9])({'|'.join(sorted(fn.ALIASES))})($|[^a-z0-9])')")
+def _alias_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return "CASE w " + " ".join(f"WHEN '{k}' THEN {quoted((k, *v))}" for k, v in sorted(fn.ALIASES.items())) + " ELSE [w] END"
+
+
+@query("", f"""SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS words
+FROM (SELECT conv_id, turn, flatten(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) > 1 AND w NOT IN ({STOP})), lambda w: {_alias_sql()})) AS l FROM conversations)""")
 def q_fn_candidates(g):
     text = g.table("conversations")
     return text.select("conv_id", "turn", F.array_join(fn.candidates(F.col("text")), " ").alias("words"))
@@ -589,6 +610,78 @@ def q_sch_postings(g):
     return search.postings(g.table("documents"), "doc_id", "text")
 
 
+# ---- display, predicates, points ----
+
+
+@query("g_nodes g_edges", f"SELECT {NODE_COLS} FROM g_nodes WHERE id = {HUB}")
+def q_lkp_by_id(g):
+    return _node(g.nodes.where(F.col("id") == _hub(g)))
+
+
+@query("g_nodes", f"SELECT {NODE_COLS} FROM (SELECT * FROM g_nodes WHERE kind = 'method' ORDER BY name, id LIMIT 20)")
+def q_sch_by_kind(g):
+    """What a search for a kind without words shows."""
+    return _node(lookups.by_kind(g.nodes, "method").limit(20))
+
+
+@query("g_nodes", "SELECT kind, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, kind) AS place FROM g_nodes GROUP BY kind")
+def q_agg_kind_order(g):
+    got = aggregates.counts_by(g.nodes, "kind").orderBy(F.desc("n"), "kind")
+    return got.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "kind")).cast("long"))  # a row a kind
+
+
+@query("g_nodes", "SELECT file_path, CAST(row_number() OVER (ORDER BY min(place), file_path) - 1 AS INT) AS place FROM (SELECT file_path, row_number() OVER (ORDER BY name, id) AS place FROM g_nodes WHERE contains(lower(name), 'red')) GROUP BY file_path")
+def q_agg_unique_files(g):
+    found = g.nodes.where(F.lower("name").contains("red")).select("file_path", F.row_number().over(W.orderBy("name", "id")).alias("place"))
+    return aggregates.unique_files(found)
+
+
+@query("g_files", "SELECT path, regexp_matches(path, '_test[.]') OR language = 'rust' AS generated, language = 'go' AS config FROM g_files")
+def q_flt_predicates(g):
+    path = F.when(F.col("language") == "rust", F.regexp_replace("path", r"\.rs$", ".pb.rs")).otherwise(F.regexp_replace("path", r"_test\.", "_gen."))
+    return g.files.select("path", lookups.is_generated(path).alias("generated"), lookups.is_config_leaf(F.when(F.col("language") == "go", "yaml").otherwise(F.col("language"))).alias("config"))
+
+
+@query("", """SELECT l_orderkey, l_linenumber, format('{:,}', l_orderkey * 1000) AS n, CASE WHEN regexp_matches(w, '(s|x|ch|sh)$') THEN w || 'es' WHEN length(w) > 2 AND regexp_matches(w, '[^aeiou]y$') THEN left(w, -1) || 'ies' ELSE w || 's' END AS plural,
+CASE WHEN l_partkey < 1000 THEN l_partkey || 'ms' WHEN l_partkey < 60000 THEN format('{:.1f}s', floor(l_partkey / 100) / 10) END AS took
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, lower(l_shipmode) AS w FROM (SELECT *, ['query', 'class', 'key', 'fox', 'file', 'branch'][1 + l_linenumber % 6] AS l_shipmode FROM lineitem))""")
+def q_fn_display(g):
+    w = F.element_at(F.array(*map(F.lit, ["query", "class", "key", "fox", "file", "branch"])), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    ms = F.when(F.col("l_partkey") < 1000, F.col("l_partkey")).otherwise(F.floor(F.col("l_partkey") / 100) * 100)
+    return g.table("lineitem").select("l_orderkey", "l_linenumber", display.thousands(F.col("l_orderkey") * 1000).alias("n"), display.plural(w).alias("plural"), F.when(F.col("l_partkey") < 60000, display.duration(ms)).alias("took"))
+
+
+@query("g_nodes", "SELECT id, 0.5::DOUBLE AS score FROM g_nodes WHERE contains(lower(name), 'd_r') OR contains(lower(qualified_name), 'd_r') OR contains(lower('about ' || kind || ' d_r'), 'd_r') AND kind = 'class'")
+def q_sch_contains(g):
+    """The step of fuzzy search after no word was found: any part, docstrings included."""
+    nodes = g.nodes.withColumn("docstring", F.when(F.col("kind") == "class", F.concat(F.lit("about "), "kind", F.lit(" D_r"))))
+    return search.containing(nodes, "D_r", 1 << 30).select("id", "score")
+
+
+BLOCK = "trim(array_to_string(string_split(text, chr(10))[{a}:{b}], chr(10)))"
+
+
+@query("", f"SELECT doc_id, CASE WHEN length(b) > 2000 THEN left(b, 2000) || chr(10) || '... (cut)' ELSE b END AS block FROM (SELECT doc_id, {BLOCK.format(a='1 + doc_id % 3', b='1 + doc_id % 3 + doc_id % 5')} AS b FROM documents)")
+def q_fn_code_block(g):
+    start = (F.col("doc_id") % 3 + 1).cast("int")
+    return g.table("documents").select("doc_id", context.code_block(F.col("text"), start, (start + F.col("doc_id") % 5).cast("int")).alias("block"))
+
+
+@query("g_nodes g_edges", _bm25_sql("g_nodes", "id", SYMBOLS, WORDS, "AND") + """, roots AS (SELECT id FROM ranked ORDER BY round(rank, 9), id LIMIT 5),
+o AS (SELECT * FROM g_edges WHERE source IN (SELECT id FROM roots)), n AS (SELECT * FROM g_nodes WHERE id IN (SELECT id FROM roots UNION SELECT target FROM o)),
+bl AS (SELECT n.id, trim(array_to_string(list_transform(range(start_line, greatest(end_line, start_line) + 1), lambda i: 'line ' || i || ' of ' || file_path), chr(10))) AS b FROM (SELECT * FROM n WHERE kind <> 'file' ORDER BY file_path, start_line, id LIMIT 10) n)
+SELECT 'nodes' AS metric, count(*) AS n FROM n UNION ALL SELECT 'edges', count(*) FROM (SELECT source, target, kind FROM o UNION SELECT source, target, kind FROM g_edges WHERE target IN (SELECT id FROM roots))
+UNION ALL SELECT 'files', count(DISTINCT file_path) FROM n UNION ALL SELECT 'blocks', count(*) FROM bl UNION ALL SELECT 'code_size', CAST(coalesce(sum(CASE WHEN length(b) > 2000 THEN 2000 + 10 ELSE length(b) END), 0) AS BIGINT) FROM bl""")
+def q_task_stats(g):
+    """A task's context from its five best symbols, with the code blocks that are shown."""
+    best = search.bm25(g.nodes, list(search.COLUMNS), WORDS).orderBy(F.round("rank", 9), "id").limit(5)
+    nodes, edges = context.around(g.nodes, g.edges, stored(best.select("id"), "roots"))
+    nodes = stored(nodes, "context")
+    line = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("line "), i.cast("string"), F.lit(" of "), F.col("path")))
+    sources = g.files.select("path", F.array_join(line, "\n").alias("text"))
+    return context.stats(nodes, edges, context.code_blocks(nodes, sources))
+
+
 # ---- composed ----
 
 
@@ -598,7 +691,9 @@ def q_explore(g):
     found = stored(search.full_text(g.nodes, WORDS, 1000000).select("id"), "found")
     got = context.explore(g.nodes.join(found, "id", "left_semi"), g.edges, g.refs, "red ring", 1 << 20).select("id", "name")
     near = lambda df, col, name: df.groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias(name))
-    got = got.join(near(graph.callers(g.nodes, g.edges, g.refs), "target", "n_callers"), "id", "left").join(near(graph.callees(g.nodes, g.edges, g.refs), "source", "n_callees"), "id", "left")
+    got = stored(got, "explored")
+    ids = got.select("id")
+    got = got.join(near(graph.callers(g.nodes, g.edges, g.refs, ids), "target", "n_callers"), "id", "left").join(near(graph.callees(g.nodes, g.edges, g.refs, ids), "source", "n_callees"), "id", "left")
     return got.select("id", "name", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_callers", "n_callees")))
 
 
@@ -677,6 +772,14 @@ def q_res_all(g):
     return resolve.resolved_edges(_refs(g), g.nodes, g.files)
 
 
+@query("g_nodes", "SELECT 'nowhere_' || pk AS reference_name, (SELECT min(id) FROM g_nodes n WHERE n.qualified_name = s.qualified_name) AS target, 5.0::DOUBLE AS priority FROM g_sym s")
+def q_res_candidates(g):
+    """References that only their own lists of candidates resolve, in the lists' order."""
+    named = g.sym.select("pk", "qualified_name", "file_path", F.col("id").alias("from_node_id"), F.concat(F.lit("nowhere_"), F.col("pk").cast("string")).alias("reference_name"))
+    refs = stored(named.withColumn("candidates", F.array(F.lit("no.such.thing"), F.col("qualified_name"))), "refs").withColumn("ref_id", F.col("pk"))
+    return refs.join(resolve.resolve(refs, g.nodes, g.files), "ref_id").select("reference_name", "target", "priority")
+
+
 # ---- extraction ----
 
 
@@ -720,6 +823,63 @@ def q_ext_page_links(g):
     return extract.page_links(g.table("pages"))
 
 
+def _made(g: Derived, path, language: str, text) -> DataFrame:
+    """Rows of one made-up source file for each part."""
+    src = g.table("part").select(path.alias("path"), F.lit(language).alias("language"), text.alias("text"))
+    return stored(extract.extract(src), "made")
+
+
+PK = lambda: F.col("p_partkey").cast("string")
+_pk = lambda: F.split("file_path", "/")[0].cast("long").alias("pk")
+
+
+@query("", "SELECT p_partkey AS pk, unnest(['Base' || p_partkey % 7, 'mod.Other']) AS base FROM part")
+def q_ext_bases(g):
+    text = F.concat(F.lit("class A"), PK(), F.lit("(Base"), (F.col("p_partkey") % 7).cast("string"), F.lit(", mod.Other):\n    pass\n"))
+    return _made(g, PK(), "python", text).where("rec = 'ref' AND kind = 'extends'").select(_pk(), F.col("name").alias("base"))
+
+
+@query("", """SELECT p_partkey AS pk, x.kind AS kind, x.name || p_partkey AS name FROM part, unnest([{'kind': 'interface', 'name': 'I'}, {'kind': 'enum', 'name': 'E'}, {'kind': 'type_alias', 'name': 'T'}]) AS u(x)
+UNION ALL SELECT p_partkey, 'struct', 'S' || p_partkey FROM part""")
+def q_ext_types(g):
+    ts = F.concat(F.lit("export interface I"), PK(), F.lit(" extends J {}\nenum E"), PK(), F.lit(" { P }\ntype T"), PK(), F.lit(" = string;\n"))
+    rust = F.concat(F.lit("pub struct S"), PK(), F.lit(" {\n}\n"))
+    both = _made(g, F.concat(PK(), F.lit("/a.ts")), "typescript", ts).unionByName(_made(g, F.concat(PK(), F.lit("/a.rs")), "rust", rust))
+    return both.where("rec = 'node' AND kind <> 'file'").select(_pk(), "kind", "name")
+
+
+@query("", """SELECT p_partkey AS pk, x.kind AS kind, replace(x.name, '#', CAST(p_partkey AS VARCHAR)) AS name, x.e AS is_exported
+FROM part, unnest([{'kind': 'constant', 'name': 'LIMIT_#', 'e': true}, {'kind': 'variable', 'name': 'plain#', 'e': true}, {'kind': 'variable', 'name': '_hidden#', 'e': false}]) AS u(x)""")
+def q_ext_variables(g):
+    """Module level only: no dunder names, none of classes or functions."""
+    text = F.concat(F.lit("LIMIT_"), PK(), F.lit(" = 1\nplain"), PK(), F.lit(" = 2\n__all__ = 3\nclass C:\n    inner = 4\ndef f():\n    local = 5\n_hidden"), PK(), F.lit(" = 6\n"))
+    return _made(g, PK(), "python", text).where("rec = 'node' AND kind IN ('variable', 'constant')").select(_pk(), "kind", "name", "is_exported")
+
+
+def _routes(rows: DataFrame) -> DataFrame:
+    route = rows.where("rec = 'node' AND kind = 'route'").select("id", _pk(), F.col("name").alias("url"), F.col("signature").alias("methods"))
+    return route.join(rows.where("rec = 'ref' AND kind = 'function_ref'").select(F.col("source").alias("id"), F.col("name").alias("handler"), F.col("metadata").alias("framework")), "id").drop("id")
+
+
+@query("", "SELECT p_partkey AS pk, 'a/' || p_partkey AS url, '' AS methods, 'v' || p_partkey AS handler, 'django' AS framework FROM part UNION ALL SELECT p_partkey, '^d/$', '', 'D' || p_partkey, 'django' FROM part")
+def q_ext_routes_urls(g):
+    text = F.concat(F.lit("urlpatterns = [path('a/"), PK(), F.lit("', views.v"), PK(), F.lit("), re_path(r'^d/$', D"), PK(), F.lit(".as_view()), path('x/', include('x.urls'))]\n"))
+    return _routes(_made(g, F.concat(PK(), F.lit("/urls.py")), "python", text))
+
+
+@query("", "SELECT p_partkey AS pk, replace(x.url, '#', CAST(p_partkey AS VARCHAR)) AS url, x.methods AS methods, x.handler AS handler, 'fastapi' AS framework FROM part, unnest([{'url': '/g#', 'methods': 'GET', 'handler': 'g'}, {'url': '/m', 'methods': 'PUT,POST', 'handler': 'm'}, {'url': '/d', 'methods': 'GET', 'handler': 'd'}]) AS u(x)")
+def q_ext_routes_verbs(g):
+    text = F.concat(F.lit("from fastapi import FastAPI\n@app.get('/g"), PK(), F.lit("')\ndef g(): pass\n@app.api_route('/m', methods=['PUT', 'post'])\nasync def m(): pass\n@app.api_route('/d')\ndef d(): pass\n"))
+    return _routes(_made(g, F.concat(PK(), F.lit("/api.py")), "python", text))
+
+
+@query("", "SELECT p_partkey AS pk, '/a' AS url, '' AS methods, 'a' AS handler, 'django' AS framework FROM part UNION ALL SELECT p_partkey, '/b' || p_partkey, 'GET', 'b', 'flask' FROM part")
+def q_ext_routes_merged(g):
+    """One route of each (url, handler): the first framework's."""
+    text = F.concat(F.lit("from flask import Flask\nurlpatterns = [path('/a', views.a)]\n@app.route('/a')\ndef a(): pass\n@app.route('/b"), PK(), F.lit("')\ndef b(): pass\n@app.route('/b"), PK(), F.lit("')\ndef b(): pass\n"))
+    return _routes(_made(g, F.concat(PK(), F.lit("/urls.py")), "python", text))
+
+
 # ---- sync and streams ----
 
 EVEN = "(SELECT path, md5(CAST(count(*) AS VARCHAR)) AS content_hash FROM g_changes WHERE change_type {0} GROUP BY path)"

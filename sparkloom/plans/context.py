@@ -11,12 +11,13 @@ from sparkloom.session import stored
 MORE = "\n... (cut)"
 
 
-def explore(nodes: DataFrame, edges: DataFrame, refs: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
+def explore(nodes: DataFrame, edges: DataFrame, refs: DataFrame, query: str, limit: int = 20, edges_in: DataFrame | None = None, **filters) -> DataFrame:
     """(id, name, score, n_callers, n_callees) of the found symbols."""
     found = stored(search.search(nodes, query, limit, **filters), "found")
     near = lambda df, col, name: df.join(found.select(F.col("id").alias(col)), col, "left_semi").groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias(name))
-    got = found.select("id", "name", "score").join(near(graph.callers(nodes, edges, refs), "target", "n_callers"), "id", "left")
-    got = got.join(near(graph.callees(nodes, edges, refs), "source", "n_callees"), "id", "left")
+    ids = found.select("id")
+    got = found.select("id", "name", "score").join(near(graph.callers(nodes, edges if edges_in is None else edges_in, refs, ids), "target", "n_callers"), "id", "left")
+    got = got.join(near(graph.callees(nodes, edges, refs, ids), "source", "n_callees"), "id", "left")
     return got.select("id", "name", "score", F.coalesce("n_callers", F.lit(0)).cast("long").alias("n_callers"), F.coalesce("n_callees", F.lit(0)).cast("long").alias("n_callees"))
 
 
@@ -50,10 +51,13 @@ def task(nodes: DataFrame, edges: DataFrame, query: str, roots: int = 5) -> tupl
     return around(nodes, edges, stored(search.search(nodes, query, roots).select("id"), "roots"))
 
 
-def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """metric, n of a context."""
+def stats(nodes: DataFrame, edges: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """metric, n of a context; with its code blocks also their number and the sum of their lengths."""
     count = lambda df, name, what=F.count(F.lit(1)): df.agg(what.alias("n")).select(F.lit(name).alias("metric"), "n")
-    return count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(count(nodes, "files", F.countDistinct("file_path")))
+    got = count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(count(nodes, "files", F.countDistinct("file_path")))
+    if blocks is None:
+        return got
+    return got.unionByName(count(blocks, "blocks")).unionByName(count(blocks, "code_size", F.coalesce(F.sum(F.length("block")), F.lit(0)).cast("long")))
 
 
 def code_block(text: Column, start: Column, end: Column, most: int = 2000) -> Column:

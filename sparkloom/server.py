@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import sys
 from argparse import Namespace
 from typing import TextIO
 
+from py4j.protocol import Py4JJavaError
+
 from sparkloom.api import ProjectGraph
 from sparkloom.cli import answer, shown
 from sparkloom.errors import LoomError
@@ -42,6 +45,10 @@ def reply(g: ProjectGraph, message: dict) -> dict | None:
         return None
     out = {"jsonrpc": "2.0", "id": message["id"]}
     if method == "initialize":
+        try:
+            g.reconcile()
+        except (LoomError, Py4JJavaError) as e:  # the graph as it is still answers
+            print(f"not brought up to date: {e}", file=sys.stderr)
         return out | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "sparkloom", "version": "1"}}}
     if method == "ping":
         return out | {"result": {}}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.session import stored
+
 VIEWS = {
     "g_base": r"""
 SELECT p_partkey AS pk, p_type, p_size AS start_line,
@@ -104,10 +106,11 @@ def with_views(*names: str, recursive: bool = False) -> str:
 
 @dataclass(frozen=True)
 class Derived:
-    """Lazy access to the derived tables of one folder."""
+    """Access to the derived tables of one folder; nodes, edges and references are made once, as a graph store has them."""
 
     spark: SparkSession
     folder: str
+    made: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -121,9 +124,14 @@ class Derived:
             df.createOrReplaceTempView(t)
         return self.spark.sql(sql)
 
+    def once(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = stored(self.view(name), name)
+        return self.made[name]
+
     sym = property(lambda self: self.view("g_sym"))
-    nodes = property(lambda self: self.view("g_nodes"))
-    edges = property(lambda self: self.view("g_edges"))
+    nodes = property(lambda self: self.once("g_nodes"))
+    edges = property(lambda self: self.once("g_edges"))
     files = property(lambda self: self.view("g_files"))
-    refs = property(lambda self: self.view("g_refs"))
+    refs = property(lambda self: self.once("g_refs"))
     changes = property(lambda self: self.view("g_changes"))

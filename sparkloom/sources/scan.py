@@ -81,11 +81,31 @@ def language(path: Column, options: ScanOptions) -> Column:
     return F.coalesce(F.element_at(table, F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))), known)
 
 
-def scan(spark: SparkSession, root: str, options: ScanOptions | None = None, content: bool = False) -> DataFrame:
-    """(path, language, size, modified_at[, content]) of the source files under root; without content nothing is read."""
+#: Files that are named to the source one by one; of more, the tree is listed and joined.
+NAMED_FILES = 4096
+
+
+def scan(spark: SparkSession, root: str, options: ScanOptions | None = None, content: bool = False, most_bytes: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """(path, language, size, modified_at[, content]) of the source files under root; without content nothing is read.
+
+    most_bytes: files above it are left out before a byte of them is read. only: these relative paths, of which the missing
+    are left out; the tree isn't listed.
+    """
     options = options or ScanOptions()
     base = str(root).rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        files = reader.option("recursiveFileLookup", True).load(base)
+    else:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        there = []
+        for p in only:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(base), jvm.org.apache.hadoop.fs.Path(None, None, p))
+            if path.getFileSystem(conf).exists(path):
+                there.append(re.sub(r"([\\*?\[\]{}])", r"\\\1", path.toString()))
+        files = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    if most_bytes is not None:
+        files = files.where(F.col("length") <= most_bytes)
     under = unquote(PurePosixPath(base.removeprefix("file://")).as_posix())
     path = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/+", "/"), "^" + re.escape(under) + "/", "")
     cols = [path.alias("path"), F.unix_millis("modificationTime").alias("modified_at"), F.col("length").alias("size"), *(["content"] if content else [])]
@@ -94,12 +114,14 @@ def scan(spark: SparkSession, root: str, options: ScanOptions | None = None, con
     return found.select("path", "language", "size", "modified_at", *(["content"] if content else []))
 
 
-def read_sources(spark: SparkSession, root: str, options: ScanOptions | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """scan() with text, content_hash and problem: too_large for a file above most_bytes, whose text is null."""
-    files = scan(spark, root, options, content=True)
-    fits = F.col("size") <= most_bytes
-    text = F.when(fits, F.decode("content", "UTF-8"))
-    return files.select("path", "language", "size", "modified_at", text.alias("text"), F.md5("content").alias("content_hash"), F.when(~fits, "file_too_large").alias("problem"))
+def read_sources(spark: SparkSession, root: str, options: ScanOptions | None = None, most_bytes: int = MOST_BYTES, only: list[str] | None = None) -> DataFrame:
+    """scan() with text, content_hash and problem: file_too_large above most_bytes, of which no byte is read: the text is null
+    and size and time stand for the contents."""
+    files = scan(spark, root, options, True, most_bytes, only)
+    fits = files.select("path", "language", "size", "modified_at", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("string").alias("problem"))
+    large = scan(spark, root, options, only=only).where(F.col("size") > most_bytes)
+    mark = F.sha2(F.concat_ws(":", F.col("size").cast("string"), F.col("modified_at").cast("string")).cast("binary"), 256)
+    return fits.unionByName(large.select("path", "language", "size", "modified_at", F.lit(None).cast("string").alias("text"), mark.alias("content_hash"), F.lit("file_too_large").alias("problem")))
 
 
 def name_tokens(manifests: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ class GraphStore:
         now = self.metadata()
         for m in self._markers():
             if m["number"] != now["number"]:
-                self._fs.delete(self._path("versions", m["name"]), True)
+                if m["name"] != now["name"]:
+                    self._fs.delete(self._path("versions", m["name"]), True)
                 self._fs.delete(self._path("markers", f"{m['number']}.json"), False)
 
     # -- tables --
@@ -100,27 +101,57 @@ class GraphStore:
         self.spark.read.schema(edges.schema).parquet(f"{base}/edges").repartitionByRange("target", "source").sortWithinPartitions("target", "kind").write.parquet(f"{base}/edges_in")
         refs.write.parquet(f"{base}/refs")
         files.write.parquet(f"{base}/files")
-        text = json.dumps({"number": number, "name": name, "indexed_at": int(time.time() * 1000), "extraction_version": EXTRACTION_VERSION, **about})
+        self._mark(number, {"number": number, "name": name, "indexed_at": int(time.time() * 1000), "extraction_version": EXTRACTION_VERSION, "values": self.metadata().get("values", {}), **about})
+
+    def _mark(self, number: int, about: dict) -> None:
+        """Makes a version the current one; of two writers at once one fails."""
         out = self._fs.create(self._path("markers", f"{number}.json"), False)
-        out.write(text.encode())
+        out.write(json.dumps(about).encode())
         out.close()
 
+    def set_value(self, key: str, value: str) -> None:
+        """Keeps a value under a key, from now on and in later versions."""
+        now = self.metadata()
+        if not now:
+            raise NotInitialized(self.folder)
+        self._mark(now["number"] + 1, now | {"number": now["number"] + 1, "values": now.get("values", {}) | {key: value}})
+
+    def value(self, key: str) -> str | None:
+        return self.metadata().get("values", {}).get(key)
+
+    def compact(self) -> None:
+        """Writes the current version again in files of even size, then deletes the others."""
+        now = self.metadata()
+        if now:
+            about = {k: v for k, v in now.items() if k not in ("number", "name", "indexed_at", "extraction_version")}
+            self.commit(self.nodes, self.edges, self.refs.coalesce(max(1, self.refs.rdd.getNumPartitions() // 2)), self.files.coalesce(1) if self.files.count() < 1 << 20 else self.files, **about)
+            self.vacuum()
+
     # -- building --
 
-    def sync(self, root: str, options: scan.ScanOptions | None = None, rebuild: bool = False) -> dict[str, int]:
+    def sync(self, root: str, options: scan.ScanOptions | None = None, rebuild: bool = False, only: list[str] | None = None) -> dict[str, int]:
         """Brings the graph up to date with a tree; counts of added, modified, removed and unchanged files.
 
-        Only files whose time and contents differ are parsed. Edges are resolved again from all references, as a new
-        definition may change what other files mean.
+        Only files whose size or time differ are read, and only those whose contents differ are parsed. Edges are resolved
+        again from all references, as a new definition may change what other files mean. only: these paths are looked at,
+        whatever their time, and no others; the counts are of them.
         """
         spark, old = self.spark, None if rebuild or not self.metadata() else self.files
-        listed = scan.scan(spark, root, options)
+        everything = old
+        listed = scan.scan(spark, root, options, only=only)
+        if only is not None and old is not None:
+            old = old.where(F.col("path").isin(only))
         if old is not None:
             same = old.select("path", F.col("modified_at").alias("_m"), F.col("size").alias("_s"))
-            maybe = listed.join(same, "path", "left").where("_m IS NULL OR _m <> modified_at OR _s <> size").select("path")
-            sources = scan.read_sources(spark, root, options).join(stored(maybe, "maybe"), "path", "left_semi")
+            moved = F.lit(True) if only is not None else F.expr("_m IS NULL OR _m <> modified_at OR _s <> size")
+            maybe = stored(listed.join(same, "path", "left").where(moved).select("path"), "maybe")
+            n = maybe.count()
+            if n <= scan.NAMED_FILES:
+                sources = scan.read_sources(spark, root, options, only=[r.path for r in maybe.collect()])
+            else:
+                sources = scan.read_sources(spark, root, options).join(maybe, "path", "left_semi")
         else:
-            sources = scan.read_sources(spark, root, options)
+            sources = scan.read_sources(spark, root, options, only=only)
         sources = stored(sources, "sources")
         hashes = listed.select("path").join(sources.select("path", "content_hash"), "path", "left")
         if old is not None:
@@ -142,7 +173,7 @@ class GraphStore:
             kept_nodes, kept_edges, kept_refs = mutations.delete_files(self.nodes, self.edges.where("provenance IS NULL"), self.refs, change)
             nodes, edges, refs = kept_nodes.unionByName(nodes), kept_edges.unionByName(edges), kept_refs.unionByName(refs)
             touched = sources.select("path", F.col("modified_at").alias("_m"))
-            kept = old.join(change, "path", "left_anti").join(touched, "path", "left").withColumn("modified_at", F.coalesce("_m", "modified_at")).drop("_m")
+            kept = everything.join(change, "path", "left_anti").join(touched, "path", "left").withColumn("modified_at", F.coalesce("_m", "modified_at")).drop("_m")
             files = kept.unionByName(files)
         nodes, refs, files = stored(nodes.dropDuplicates(["id"]), "nodes"), stored(refs, "refs"), stored(files, "files")
         found = resolve.resolved_edges(with_ids(refs), nodes, files.where("problem IS NULL"))

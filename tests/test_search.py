@@ -73,3 +73,15 @@ def test_segments_and_prose(nodes):
     assert {(r.name, r.word) for r in search.segment_matches(nodes, ["config", "SERVER", "x"]).collect()} == {("getHTTPServer", "server"), ("server_config", "config"), ("Config", "config")}
     assert search.segment_matches(nodes, ["x"]).count() == 0
     assert lookups.edges_by_node(nodes, nodes.sparkSession.createDataFrame([("1", "2", "calls", 1)], "source string, target string, kind string, line int")).where("size(edges) = 0").count() == 4
+
+
+def test_shown_values(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import display
+
+    rows = spark.createDataFrame([(0,), (999,), (1000,), (59_940,), (61_000,), (3_600_000,)], "ms long")
+    assert [r[0] for r in rows.select(display.duration(F.col("ms"))).collect()] == ["0ms", "999ms", "1.0s", "59.9s", "1m 1s", "60m 0s"]
+    words = spark.createDataFrame([("class",), ("query",), ("key",), ("by",), ("file",)], "w string")
+    assert [r[0] for r in words.select(display.plural(F.col("w"))).collect()] == ["classes", "queries", "keys", "bys", "files"]
+    assert display.styled("x", "bold") == "\x1b[1mx\x1b[0m" and display.styled("x", "red", False) == "x"

@@ -123,3 +123,35 @@ def test_unsafe_root(spark):
         with pytest.raises(UnsafeRoot):
             GraphStore.create(spark, bad)
     assert issubclass(UnsafeRoot, LoomError)
+
+
+def test_named_files_values_and_reconciliation(spark, tree, tmp_path):
+    g = ProjectGraph.init(spark, tree, f"{tmp_path}/graph")
+    g.index_all()
+    write(tree, utils_py="def greet(n):\n    return n\n\ndef add(a, b):\n    return a\n", extra_py="def extra():\n    return 1\n", other_py="def other():\n    return 1\n")
+    (tree / "pkg/algo_b.py").unlink()
+    assert g.index_files(["utils.py", "extra.py", "pkg/algo_b.py", "main.py"]) == {"added": 1, "modified": 1, "removed": 1, "unchanged": 1}
+    assert g.index_file("utils.py") == {"added": 0, "modified": 0, "removed": 0, "unchanged": 1}
+    names = {r.name for r in g.nodes.select("name").collect()}
+    assert {"extra", "greet", "start"} <= names and "other" not in names
+    assert ("run", "greet") in edges(g)
+    assert g.reconcile()["added"] == 1 and g.reconcile() == {"added": 0, "modified": 0, "removed": 0}
+    g.set_value("owner", "me")
+    assert g.value("owner") == "me" and g.value("none") is None
+    before = [sorted(map(repr, t.select(*sorted(t.columns)).collect())) for t in (g.nodes, g.edges)]
+    g.store.compact()
+    assert [sorted(map(repr, t.select(*sorted(t.columns)).collect())) for t in (g.nodes, g.edges)] == before
+    assert g.value("owner") == "me" and len(g.store._markers()) == 1
+    assert {r.section for r in g.neighbourhood(g.id_of("run")).collect()} >= {"incoming", "outgoing", "callees"}
+    assert {r.depends_on for r in g.file_dependencies("app.py").collect()} == {"utils.py"}
+
+
+def test_large_files_are_never_read(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "b.py").write_text("y = 1\n" * 100)
+    got = {r.path: r for r in scan.read_sources(spark, str(tmp_path), most_bytes=50).collect()}
+    assert got["a.py"].problem is None and got["a.py"].text == "x = 1\n" and len(got["a.py"].content_hash) == 64
+    assert got["b.py"].problem == "file_too_large" and got["b.py"].text is None and got["b.py"].size == 600
+    only = scan.read_sources(spark, str(tmp_path), only=["a.py", "none.py"]).collect()
+    assert [r.path for r in only] == ["a.py"]
+    assert scan.read_sources(spark, str(tmp_path), only=["none.py"]).count() == 0
