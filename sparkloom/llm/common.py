@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.session import forget as drop_stored
+from sparkloom.session import scratch as scratch_root
+from sparkloom.session import stored
+
 #: Rows times bytes up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 #: Text handled at once inside a Python worker; a single longer document is handled whole.
@@ -22,39 +24,6 @@ CHUNK_BYTES = 2 << 20
 HASH_BLOCK = 1 << 19
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        root = "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = jsc.getCheckpointDir().get()
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it again: later steps survive a lost executor."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(*tables: DataFrame) -> None:
-    """Deletes tables made by stored() that no later step reads."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            if path.getName().startswith("loom-"):
-                path.getFileSystem(conf).delete(path, True)
-
-
 @functools.lru_cache(1)
 def _trim():
     try:
@@ -202,3 +171,6 @@ def hash_words(words: list[str]) -> np.ndarray:
     """The same hashes for a list of single words."""
     raw, offsets = string_buffers(pa.array(words, pa.string()))
     return span_hashes(raw, offsets[:-1], offsets[1:])
+
+
+__all__ = ["drop_stored", "scratch_root", "stored"]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sparkloom.llm.common import drop_stored, stored, tidied
+from sparkloom.llm.common import drop_stored, small, stored, tidied
 
 BLOCK_BYTES = 1024
 #: Rows that are sampled, for each partition to come, to find the borders of the ranges. They go to the driver with whole
@@ -80,7 +80,7 @@ def named(df: DataFrame, by: list[str], keep: list[str], tag: str) -> DataFrame:
     edges = edges.select("_part", "_rank", F.when(F.coalesce(same, F.lit(False)), 1).otherwise(0).alias("_goes_on"))
     until = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offset = edges.select("_part", (F.coalesce(F.sum(F.col("_rank") + 1).over(until), F.lit(0)) - F.sum("_goes_on").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0))).alias("_offset"))
-    return table.where("_part >= 0").join(F.broadcast(offset), "_part").select(*keep, (F.col("_rank") + F.col("_offset")).alias("name"))
+    return table.where("_part >= 0").join(small(offset, 16), "_part").select(*keep, (F.col("_rank") + F.col("_offset")).alias("name"))
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -114,14 +114,11 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     text has a null identity, is its own copy (n_copies 1) and no duplicate; a null doc_id comes last in its group.
     Empty texts are equal to each other. Other columns of docs are ignored. An empty table gives no rows.
     """
-    w = W.partitionBy("identity")
-    found = identities(docs, block_bytes).select(
-        "doc_id",
-        "identity",
-        F.min("doc_id").over(w).alias("keep_id"),
-        F.count(F.lit(1)).over(w).alias("n_copies"),
-        (F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "uid")) > 1).alias("duplicate"),
-    )
+    rows = identities(docs, block_bytes)
+    # partial aggregates first: the copies of one text, however many, are never in one task
+    groups = rows.groupBy(F.col("identity").alias("_i")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))).alias("_first"))
+    groups = stored(groups.select("_i", "keep_id", "n_copies", F.col("_first.uid").alias("_first")), "groups")
+    found = rows.join(small(groups, 40), F.col("identity") == F.col("_i")).select("doc_id", "identity", "keep_id", "n_copies", (F.col("uid") != F.col("_first")).alias("duplicate"))
     none = docs.where("text IS NULL").select("doc_id", F.lit(None).cast("long").alias("identity"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(False).alias("duplicate"))
     return found.unionByName(none)
 
