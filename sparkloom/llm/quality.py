@@ -20,8 +20,8 @@ from sparkloom.llm.common import doc_chunks, small, string_buffers, tidied
 
 EMBED, WIDTH, FILTERS, HIDDEN = 4, 6, 32, 16
 CHUNK = 256
-#: Labelled rows that are fitted at most, those of least hash; the bound doesn't depend on the corpus.
-TRAIN_DOCS = 3000
+#: Labelled rows that are fitted at most, those of least hash, and bytes of their texts; the bounds don't depend on the corpus.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 64 << 20
 EPOCHS, BATCH, RATE, SEED = 12, 32, 3e-3, 7
 THRESHOLD = 0.5
 #: Bytes that pass through the network at once.
@@ -153,12 +153,30 @@ def score(net: Net, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled texts and whether each is good: of quality 1 and not toxic. A null label leaves the row out."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
+    """Labelled texts and whether each is good: of quality 1 and not toxic. A null label leaves the row out.
+
+    At most `most` texts, and as many of them, in the order of the hash, as have most_bytes together; a text longer than
+    that is passed over. Rows of one doc_id and text count once, different texts of one doc_id each. Only hashes and sizes
+    are gathered before the bounds are applied.
+    """
     fit = labels.select(F.col("doc_id").alias("_d"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    fit = fit.where("_d IS NOT NULL AND good IS NOT NULL").orderBy(F.xxhash64("_d"), "_d", "good").limit(most)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(small(fit, 16, most), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "good").collect()  # bounded by most
-    rows.sort(key=lambda r: (r.doc_id, r.text, r.good))
+    fit = fit.where("_d IS NOT NULL AND good IS NOT NULL").groupBy("_d").agg(F.min("good").alias("good"))
+    fit = fit.orderBy(F.xxhash64("_d"), "_d").limit(most)
+    mark = F.xxhash64("text").alias("_h")
+    have = docs.where("text IS NOT NULL").join(small(fit, 16, most), F.col("doc_id") == F.col("_d"))
+    sizes = have.groupBy("_d", mark).agg(F.min(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("_d"), "_d", "_h").limit(most).collect()  # `most` short rows
+    chosen, room = [], most_bytes
+    for r in sizes:
+        if r.n <= room:
+            chosen.append((r["_d"], r["_h"]))
+            room -= r.n
+    if not chosen:
+        return [], np.zeros(0)
+    keys = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("_e", fit.schema["_d"].dataType), T.StructField("_g", T.LongType())]))
+    found = have.select("_d", "good", "text", mark).join(small(keys, 32, most), (F.col("_d") == F.col("_e")) & (F.col("_h") == F.col("_g")))
+    rows = found.groupBy("_d", "_h").agg(F.min("text").alias("text"), F.min("good").alias("good")).collect()  # within both bounds
+    rows.sort(key=lambda r: (r["_d"], r.text))
     return [r.text for r in rows], np.array([r.good for r in rows], np.float64)
 
 
