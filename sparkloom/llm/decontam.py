@@ -189,14 +189,13 @@ def shard_spans(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple
     return doc, begin - starts[doc], end - starts[doc]
 
 
-def _parts(benchmark: DataFrame) -> list[list[str]]:
-    """The items' texts, in as many parts as PART_BYTES asks for. Null texts are left out."""
-    texts = benchmark.select("text").where("text IS NOT NULL")
+def _parts(benchmark: DataFrame):
+    """The items' texts, in as many parts as PART_BYTES asks for, one at a time: the driver never holds more. Null texts are left out."""
+    texts = benchmark.select("text").where("text IS NOT NULL").distinct()
     n = int((texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES) + 1
-    if n == 1:
-        return [[r.text for r in texts.collect()]]
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [[r.text for r in texts.where(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [r.text for r in (texts if n == 1 else texts.where(part == k)).collect()]
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
