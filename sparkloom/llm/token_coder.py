@@ -13,6 +13,7 @@ block at once; the blocks of a task are then coded side by side. The decoder reb
 from __future__ import annotations
 
 import base64
+import os
 import re
 import zlib
 from collections.abc import Iterable
@@ -20,10 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import doc_chunks, span_hashes, string_buffers, tidied
+from sparkloom.llm.common import doc_chunks, integer_ids, span_hashes, string_buffers, tidied
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,7 +51,8 @@ _RARE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a
 
 class Tokenizer:
     """Ids of whole texts. A text falls apart, without effect on the ids, before a single space between other characters
-    and around such a line feed; each distinct piece is encoded once a task."""
+    and around such a line feed; each distinct piece is encoded once a task. Pieces are found by their hashes; the bytes of
+    the ids are then compared with the text, and a document in which they differ is encoded as a whole."""
 
     def __init__(self, path: str = TOKENIZER):
         import tiktoken
@@ -57,6 +60,12 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.n_ids = max(ranks.values()) + 1
+        text = [b""] * self.n_ids
+        for piece, k in ranks.items():
+            text[k] = piece
+        self.text = np.frombuffer(b"".join(text), np.uint8)  # the bytes of every id
+        self.size = np.array([len(x) for x in text])
+        self.at = np.cumsum(self.size) - self.size
         self.one = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._forget()
 
@@ -110,8 +119,20 @@ class Tokenizer:
         at = np.searchsorted(self.keys, distinct)[which]
         size = np.diff(self.begin)[at]
         ids = self.ids[_ranges(self.begin[at], size)]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return ids, upto[np.searchsorted(starts, offsets)]
+        upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
+        return (ids, upto) if self.spells(ids, raw) else self._mended(ids, upto, raw, offsets)
+
+    def spells(self, ids: np.ndarray, raw: np.ndarray) -> bool:
+        """Whether the ids are those bytes."""
+        size = self.size[ids]
+        return int(size.sum()) == len(raw) and bool((self.text[_ranges(self.at[ids], size)] == raw).all())
+
+    def _mended(self, ids: np.ndarray, upto: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = []
+        for i, j, a, b in zip(upto, upto[1:], offsets, offsets[1:]):
+            own, text = ids[i:j], raw[a:b]
+            got.append(own if self.spells(own, text) else np.array(self.one.encode_ordinary(text.tobytes().decode()), np.int32))
+        return np.concatenate(got), np.concatenate([[0], np.cumsum([len(x) for x in got])])
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -310,7 +331,14 @@ def checked(block: dict, n_ids: int) -> np.ndarray:
 
 @lru_cache(1)
 def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    """The tokenizer in a task: the vocabulary file that the driver sent along, else the one at the path."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return Tokenizer(sent if os.path.exists(sent) else path)
+
+
+def _send(spark: SparkSession, path: str) -> None:
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
 
 
 def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -319,10 +347,12 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int
 
     Documents follow each other as in their partition, so the order of docs is kept; a long document goes on in the next
     block. A null or empty text has one piece without ids; a null doc_id stays null; repeated rows are coded again. A task
-    without rows gives no block, nor does an empty table. Other columns are ignored. block_tokens is at most 65536.
+    without rows gives no block, nor does an empty table. Other columns are ignored; doc_id must be an integer column.
+    block_tokens is at most 65536.
     """
     if not 0 < block_tokens <= 1 << 16:
         raise ValueError("block_tokens must be from 1 to 65536")
+    _send(docs.sparkSession, tokenizer)
 
     def run(batches):
         tok = _tokenizer(tokenizer)
@@ -367,11 +397,12 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int
         if blocks:
             yield out()
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), SCHEMA)
+    return integer_ids(docs).select("doc_id", "text").mapInArrow(tidied(run), SCHEMA)
 
 
 def documents_of(blocks: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, first_token, ids) of every piece of a document: the way back, with every checksum compared."""
+    _send(blocks.sparkSession, tokenizer)
 
     def run(batches):
         n_ids = _tokenizer(tokenizer).n_ids

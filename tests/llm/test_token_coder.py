@@ -89,3 +89,22 @@ def test_a_damaged_block_is_noticed(tokenizer):
 def test_blocks_are_bounded(none):
     with pytest.raises(ValueError, match="65536"):
         C.token_blocks(none, block_tokens=1 << 17)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """With hashes of three values nearly all pieces are mistaken for others; the comparison of bytes finds it."""
+    plain = C.span_hashes
+    monkeypatch.setattr(C, "span_hashes", lambda raw, a, b: plain(raw, a, b) % np.uint64(3))
+    t = C.Tokenizer()
+    texts = ["one two three four", "", "five six seven", "one one"]
+    raw, offsets = string_buffers(pa.array(texts), lower=False)
+    ids, upto = t.encode(raw, offsets)
+    for x, a, b in zip(texts, upto, upto[1:]):
+        assert ids[a:b].tolist() == t.one.encode_ordinary(x)
+
+
+def test_ids_must_be_integers(make):
+    docs = make((1, "a"))
+    assert C.token_blocks(docs.withColumn("doc_id", docs.doc_id.cast("int"))).first().doc_ids == [1]
+    with pytest.raises(TypeError, match="integer"):
+        C.token_blocks(docs.withColumn("doc_id", docs.doc_id.cast("string")))
