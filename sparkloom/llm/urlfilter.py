@@ -9,14 +9,12 @@ from __future__ import annotations
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import tidied
+from sparkloom.llm.url_terms import SOFT, SOFT_LIMIT, STRICT
 
-STRICT = ("spam-farm", "cheap-pills", "casino", "porn", "xxx", "warez", "malware", "phishing", "free-money", "torrent")
-SOFT = {"pills": 1, "cheap": 1, "spam": 1, "farm": 1, "bonus": 1, "win": 1, "adult": 2, "bet": 1, "loan": 1, "click": 1, "promo": 1, "deal": 1, "buy": 1}
-SOFT_LIMIT = 3
-
-SCHEMA = "page_id long, url string, n_strict int, n_soft int, soft_weight int, rejected boolean"
+SCHEMA_REST = "url string, n_strict int, n_soft int, soft_weight int, rejected boolean"
 
 
 def automaton(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
@@ -47,8 +45,10 @@ def judge(url: str | None, a: ahocorasick.Automaton, soft: dict[str, int], limit
 def filter_urls(pages: DataFrame, strict=STRICT, soft: dict[str, int] = SOFT, limit: int = SOFT_LIMIT) -> DataFrame:
     """One row for each row of pages, in no order: page_id, url, the counts and the verdict.
 
-    A null or empty URL has no terms and isn't rejected; repeated rows get the same verdict; a term that is strict and
-    soft is strict. Only page_id and url are read. The vocabulary is a parameter shipped with the task.
+    A null or empty URL has no terms and isn't rejected; repeated rows get the same verdict; a term that is strict and soft
+    is strict; terms that overlap each count, and so does a term within another, if boundaries are on its sides. A very long
+    URL is searched whole, in one pass. page_id may be of any type and is kept. An empty table gives no rows. Only page_id and
+    url are read. The vocabulary is a parameter shipped with the task.
     """
     strict, soft = tuple(t.lower() for t in strict), {k.lower(): v for k, v in soft.items() if k.lower() not in {t.lower() for t in strict}}
 
@@ -60,11 +60,15 @@ def filter_urls(pages: DataFrame, strict=STRICT, soft: dict[str, int] = SOFT, li
             s, m, w, r = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(w, pa.int32()), pa.array(r, pa.bool_())], ["page_id", "url", "n_strict", "n_soft", "soft_weight", "rejected"])
 
-    return pages.select("page_id", "url").mapInArrow(tidied(run), SCHEMA)
+    schema = T.StructType([pages.select("page_id").schema[0], *T._parse_datatype_string(SCHEMA_REST).fields])
+    return pages.select("page_id", "url").mapInArrow(tidied(run), schema)
 
 
 def oracle(strict=STRICT, soft: dict[str, int] = SOFT, limit: int = SOFT_LIMIT) -> str:
-    hit = lambda t: f"CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN 1 ELSE 0 END"
-    n_strict, mild = " + ".join(map(hit, strict)), [t for t in soft if t not in strict]
-    return f"""SELECT page_id, url, CAST(n_strict AS INT) AS n_strict, CAST(n_soft AS INT) AS n_soft, CAST(soft_weight AS INT) AS soft_weight, n_strict > 0 OR soft_weight >= {limit} AS rejected
-FROM (SELECT page_id, url, {n_strict} AS n_strict, {" + ".join(map(hit, mild))} AS n_soft, {" + ".join(f"{soft[t]} * {hit(t)}" for t in mild)} AS soft_weight FROM pages)"""
+    """Every term as a regular expression of its own, over a table of the terms."""
+    rows = [(t, 1, 0) for t in strict] + [(t, 0, w) for t, w in soft.items() if t not in strict]
+    terms = ", ".join(f"('(^|[^a-z0-9]){t}($|[^a-z0-9])', {s}, {w})" for t, s, w in rows)
+    return f"""WITH t(e, s, w) AS (VALUES {terms}), u AS (SELECT DISTINCT url FROM pages),
+f AS (SELECT url, sum(s) AS n_strict, count(*) - sum(s) AS n_soft, sum(w) AS soft_weight FROM u JOIN t ON regexp_matches(lower(url), e) GROUP BY url)
+SELECT page_id, p.url, CAST(coalesce(n_strict, 0) AS INT) AS n_strict, CAST(coalesce(n_soft, 0) AS INT) AS n_soft, CAST(coalesce(soft_weight, 0) AS INT) AS soft_weight,
+  coalesce(n_strict > 0 OR soft_weight >= {limit}, false) AS rejected FROM pages p LEFT JOIN f USING (url)"""

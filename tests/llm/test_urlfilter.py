@@ -21,6 +21,17 @@ def test_against_regular_expressions(spark):
         assert (r.n_strict, r.n_soft, r.soft_weight, r.rejected) == expected(r.url), r.url
 
 
+def test_every_kind_of_id_and_long_urls(spark):
+    rows = [("a", "http://x.org/" + "y/" * 200_000 + "casino"), ("a", "http://x.org/" + "bet" * 100_000), (None, "http://x.org/free-bets")]
+    got = U.filter_urls(spark.createDataFrame(rows, "page_id string, url string")).collect()
+    assert sorted((r.page_id or "", r.rejected) for r in got) == [("", True), ("a", False), ("a", True)]
+
+
+def test_vocabulary():
+    assert not set(U.STRICT) & set(U.SOFT) and all(0 < w < U.SOFT_LIMIT for w in U.SOFT.values())
+    assert all(t == t.lower() and t.strip() for t in (*U.STRICT, *U.SOFT))
+
+
 def test_empty_table_and_vocabulary(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert U.filter_urls(pages).count() == 0
