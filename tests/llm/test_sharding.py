@@ -1,3 +1,5 @@
+import hashlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,3 +51,38 @@ def test_slot_bytes(odd):
     rows = slot_bytes(odd).collect()
     assert sum(r.n_docs for r in rows) == odd.count()
     assert sum(r.n_bytes for r in rows) == sum(len((r.text or "").encode()) for r in odd.collect())
+
+
+def brute_map(rows, slots, shards, tolerance):
+    """Slot, bytes and shard of every row by the rules, over dictionaries."""
+    at, load = [], [0] * slots
+    for d, t in rows:
+        key = str(d) if d is not None else t if t is not None else ""
+        slot, n = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % slots, len((t or "").encode())
+        at.append((slot, n))
+        load[slot] += n
+    shard = [s * shards // slots for s in range(slots)]
+    total = [sum(load[s] for s in range(slots) if shard[s] == k) for k in range(shards)]
+    most, stuck = sum(load) / shards * (1 + tolerance), set()
+    while True:
+        full = [k for k in range(shards) if total[k] > most and k not in stuck]
+        if not full:
+            break
+        src = min(full, key=lambda k: (-total[k], k))
+        dst = min(range(shards), key=lambda k: (total[k], k))
+        fits = [s for s in range(slots) if shard[s] == src and 0 < load[s] < total[src] - total[dst] and total[dst] + load[s] <= most]
+        if not fits:
+            stuck.add(src)
+            continue
+        slot = min(fits, key=lambda s: (-load[s], s))
+        shard[slot] = dst
+        total[src] -= load[slot]
+        total[dst] += load[slot]
+    return [(d, n, slot, shard[slot]) for (d, _), (slot, n) in zip(rows, at)]
+
+
+def test_whole_query_against_brute_force(odd, make):
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(100 + i, "x" * (i * 37 % 400)) for i in range(300)]
+    for slots, shards in ((4096, 64), (64, 4)):
+        got = [(r.doc_id, r.n_bytes, r.slot, r.shard) for r in shard_documents(make(*rows), slots, shards).collect()]
+        assert sorted(got, key=repr) == sorted(brute_map(rows, slots, shards, 0.02), key=repr)
