@@ -17,16 +17,22 @@ from sparkloom.session import ship
 from sparkloom.sources import scan
 from sparkloom.store import GraphStore, with_ids
 
-FOLDER = ".sparkloom"
+FOLDER, CONFIG = ".sparkloom", "sparkloom.json"
 
 
 class ProjectGraph:
     """init() and open() give one; the graph is kept in the project's own folder unless another is named."""
 
     def __init__(self, spark: SparkSession, root: str, store: GraphStore, options: scan.ScanOptions | None = None):
-        self.spark, self.root, self.store, self.options = ship(spark), str(root), store, options or scan.ScanOptions()
+        self.spark, self.root, self.store = ship(spark), str(root), store
+        self.options = options or self._configured()
         self._lock = threading.Lock()
 
+    def _configured(self) -> scan.ScanOptions:
+        """The project's own settings, from the file that it may have."""
+        at = Path(self.root, CONFIG)
+        return scan.ScanOptions.from_json(at.read_text()) if at.exists() else scan.ScanOptions()
+
     # -- life cycle --
 
     @staticmethod
@@ -112,7 +118,7 @@ class ProjectGraph:
     # -- look-ups and search --
 
     def search(self, query: str, limit: int = 20, mode: str = "text", **filters) -> DataFrame:
-        return search.search(self.nodes, query, limit, mode, **filters)
+        return search.search(self.nodes, query, limit, mode, self.store.index, **filters)
 
     def node(self, node: str) -> DataFrame:
         return self.nodes.where(F.col("id") == node)

@@ -28,10 +28,17 @@ RULES = {
     "json_web_token": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "stripe_key": r"(sk|rk)_(live|test)_[0-9A-Za-z]{16,32}",
     "password": r"[Pp](assword|ASSWORD|wd|asswd) ?[=:] ?[\"']?[!#-&(-~]{6,}",
-    "token": r"([Tt]oken|[Ss]ecret|[Aa][Pp][Ii]_?[Kk]ey) ?[=:] ?[\"']?[0-9A-Za-z_-]{16,}[\"']?",
+    "token": r"([Tt](oken|OKEN)|[Ss](ecret|ECRET)|[Aa][Pp][Ii]_?[Kk](ey|EY)) ?[=:] ?[\"']?[0-9A-Za-z_-]{16,}[\"']?",
+    "gitlab_token": r"glpat-[0-9A-Za-z_-]{20}",
+    "npm_token": r"npm_[0-9A-Za-z]{36}",
+    "sendgrid_key": r"SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}",
+    "slack_webhook": r"hooks\.slack\.com/services/T[0-9A-Z]{8,12}/B[0-9A-Z]{8,12}/[0-9A-Za-z]{20,}",
+    "storage_key": r"AccountKey=[0-9A-Za-z+/]{40,}={0,2}",
 }
 
 SHARD_BYTES, LANES = 8 << 20, 4096
+#: Bytes of a lane at least; a longer document is cut for the pass into lanes that overlap by the longest head.
+LANE_BYTES = 2048
 #: Bytes of a head at least, as far as the rule's shortest match goes.
 HEAD = 6
 _W = frozenset(range(48, 58)) | frozenset(range(65, 91)) | frozenset(range(97, 123)) | {95}
@@ -140,6 +147,18 @@ def least(tree) -> int:
     return (sum if kind == "cat" else min)(map(least, tree[1]))
 
 
+def longest(tree) -> int | None:
+    """Bytes of the longest match, None if there is no bound."""
+    kind = tree[0]
+    if kind == "set":
+        return 1
+    if kind == "rep":
+        one = longest(tree[1])
+        return None if tree[3] is None or one is None else tree[3] * one
+    parts = [longest(p) for p in tree[1]]
+    return None if None in parts else (sum if kind == "cat" else max)(parts)
+
+
 def head(tree, need: int = HEAD):
     """A tree of which every match of the given one begins with a match, of `need` bytes at least where the shortest match has them."""
     kind = tree[0]
@@ -276,6 +295,9 @@ class Scanner:
         self.names, self.inner = list(rules), inner
         trees = [parse(r) for r in rules.values()]
         heads = [head(t) for t in trees]
+        reach = [longest(t) for t in heads]
+        #: How far back a head goes, where documents may be cut: matches begin anywhere and no head is without a bound.
+        self.overlap = None if inner or None in reach else max(reach)
         self.all = DFA(heads, ALL - inner)
         self.one = [self._lists(DFA([t])) for t in trees]
         self.back = [self._lists(DFA([reverse(t)])) for t in heads]
@@ -287,23 +309,34 @@ class Scanner:
         dead = (rows == (np.arange(d.states) * d.classes)[:, None]).all(1) & (d.mark == 0)
         return d.step.tolist(), np.repeat(d.mark != 0, d.classes).tolist(), np.repeat(dead, d.classes).tolist(), d.class_of.tolist()
 
+    def _lanes(self, offsets: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, length, first byte whose ends count) of lanes, longest first: runs of documents, or parts of a long one."""
+        size = np.diff(offsets)
+        want = max(LANE_BYTES, -(-int(offsets[-1]) // lanes))
+        if self.overlap is None:
+            want = max(want, int(size.max()))
+        rows, doc = [], 0
+        while doc < len(size):
+            lo = int(offsets[doc])
+            if size[doc] > 2 * want:
+                hi = int(offsets[doc + 1])
+                rows += [(max(lo, b - self.overlap), min(hi, b + want), b) for b in range(lo, hi, want)]
+                doc += 1
+                continue
+            end = max(doc + 1, int(np.searchsorted(offsets, lo + want, "right")) - 1)
+            long = np.flatnonzero(size[doc:end] > 2 * want)
+            doc = doc + int(long[0]) if len(long) else min(end, len(size))
+            rows.append((lo, int(offsets[doc]), lo))
+        begin, end, own = np.array(rows, np.int64).T
+        order = np.argsort(begin - end, kind="stable")
+        return begin[order], (end - begin)[order], own[order]
+
     def ends(self, raw: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
         """(positions after the last byte, rule sets) of every head that ends somewhere, by one pass over all bytes."""
         d, n = self.all, len(raw)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        size = np.diff(offsets)
-        # documents in lanes of about equal length, each lane a run of documents; a lane restarts at each document
-        want = max(int(size.max()), -(-n // lanes))
-        cut, doc = [0], 0
-        while doc < len(size):
-            nxt = int(np.searchsorted(offsets, offsets[doc] + want, "right")) - 1
-            doc = max(doc + 1, min(nxt, len(size)))
-            cut.append(doc)
-        begin = offsets[np.array(cut)]
-        length = np.diff(begin)
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[:-1][order], length[order]
+        begin, length, own = self._lanes(offsets, lanes)
         fresh = np.zeros(n + 1, bool)
         fresh[offsets[:-1]] = True
         cls = d.class_of[raw]
@@ -320,7 +353,7 @@ class Scanner:
                 s[f] = 0
             s = d.step[s + cls[at]]
             state[:m] = s
-            hit = marked[s // d.classes]
+            hit = marked[s // d.classes] & (at >= own[:m])
             if hit.any():
                 k = np.flatnonzero(hit)
                 at_end.append(at[k] + 1)
@@ -374,12 +407,16 @@ class Scanner:
 def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """doc_id, rule, start_byte, end_byte of every match: leftmost-longest and without overlap, for each rule by itself.
 
-    A match may begin at any byte. Offsets are in the UTF-8 bytes of text. Null and empty texts have no match; repeated rows give repeated matches; no
-    match goes over the border of two documents. An empty table gives no rows. Other columns are ignored.
+    A match may begin at any byte. Offsets are in the UTF-8 bytes of text. Null and empty texts have no match; repeated rows
+    give repeated matches; no match goes over the border of two documents; a very long text is passed over in several lanes,
+    which changes no match. Of matches of one rule that begin at one byte the longest counts. An empty table gives no rows.
+    Other columns are ignored.
     """
 
+    built = docs.sparkSession.sparkContext.broadcast(Scanner(rules, frozenset()))  # as large as the rules make it
+
     def run(batches):
-        scanner = Scanner(rules, frozenset())
+        scanner = built.value
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1), lower=False)
             for a, b in doc_chunks(offsets, SHARD_BYTES):

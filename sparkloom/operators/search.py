@@ -85,18 +85,57 @@ def postings(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(key, F.explode(fn.tokens(F.col(column))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def full_text(nodes: DataFrame, words: list[str], limit: int = 20, offset: int = 0, where: Column | None = None) -> DataFrame:
+def inverted(rows: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(term, key, tf, len): the inverted index of several columns at once, len the number of terms of a row in all; a row
+    without terms has one entry with a null term. To be stored sorted by term."""
+    cols = [c for c in columns if c in rows.columns]
+    terms = rows.select(key, F.flatten(F.array(*(fn.tokens(F.col(c)) for c in cols))).alias("_t"))
+    each = terms.select(key, F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
+    return each.groupBy("term", key).agg(F.count("term").alias("tf"), F.first("len").alias("len"))
+
+
+def indexed_bm25(index: DataFrame, totals: DataFrame, key: str, words: list[str], require_all: bool = True) -> DataFrame:
+    """(key, rank) as of bm25, from a stored inverted index: only the entries of terms that begin with a word are read.
+
+    words are single terms. totals is one row: the number of indexed rows, `n`, and their mean length, `mean`.
+    """
+    terms = [_terms(w)[0] for w in words]
+    hit = [F.col("term").startswith(t) for t in terms]
+    found = index.where(reduce(lambda a, b: a | b, hit)).groupBy(key).agg(F.first("len").alias("_len"), *(F.sum(F.when(h, F.col("tf")).otherwise(0)).alias(f"_tf{j}") for j, h in enumerate(hit)))
+    n = found.agg(*(F.count_if(F.col(f"_tf{j}") > 0).alias(f"_n{j}") for j in range(len(terms))))
+    ok = reduce((lambda a, b: a & b) if require_all else (lambda a, b: a | b), (F.col(f"_tf{j}") > 0 for j in range(len(terms))))
+    both = found.where(ok).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(totals))  # one row each
+    idf = [F.greatest(F.log((F.col("n") - F.col(f"_n{j}") + 0.5) / (F.col(f"_n{j}") + 0.5)), F.lit(1e-6)) for j in range(len(terms))]
+    norm = K1 * (1 - B + B * F.col("_len") / F.col("mean"))
+    rank = reduce(lambda a, b: a + b, (idf[j] * F.col(f"_tf{j}") * (K1 + 1) / (F.col(f"_tf{j}") + norm) for j in range(len(terms))))
+    return both.select(key, (-rank).alias("rank"))
+
+
+def index_totals(index: DataFrame, key: str) -> DataFrame:
+    """The one row that indexed_bm25 needs beside the index."""
+    per = index.groupBy(key).agg(F.first("len").alias("len"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+
+
+def _ranked(nodes: DataFrame, words: list[str], require_all: bool, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """nodes with rank, by a stored index where there is one and every word is one term."""
+    if index is None or not words or any(len(_terms(w)) != 1 for w in words):
+        return bm25(nodes, list(COLUMNS), words, require_all)
+    return nodes.join(indexed_bm25(*index, "id", words, require_all), "id").select(*nodes.columns, "rank")
+
+
+def full_text(nodes: DataFrame, words: list[str], limit: int = 20, offset: int = 0, where: Column | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Nodes with all words, best first, `score` = 1 - rank / 100. No result if a word has two characters or fewer."""
     if any(len(w) <= 2 for w in words):
         return nodes.where(F.lit(False)).withColumn("rank", F.lit(0.0)).withColumn("score", F.lit(0.0))
-    found = bm25(nodes, list(COLUMNS), words)
+    found = _ranked(nodes, words, True, index)
     found = found if where is None else found.where(where)
     return found.orderBy("rank", "id").offset(offset).limit(limit).withColumn("score", 1 - F.col("rank") / 100)
 
 
-def any_word(nodes: DataFrame, words: list[str], limit: int = 20, where: Column | None = None) -> DataFrame:
+def any_word(nodes: DataFrame, words: list[str], limit: int = 20, where: Column | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The supplement for too few nodes with all words: any of them, at four fifths of the score."""
-    found = bm25(nodes, list(COLUMNS), words, require_all=False)
+    found = _ranked(nodes, words, False, index)
     found = found if where is None else found.where(where)
     return found.orderBy("rank", "id").limit(limit).withColumn("score", F.when(F.col("rank") == 0, 0.4).otherwise((1 - F.col("rank") / 100) * 0.8))
 
@@ -109,8 +148,9 @@ def boosted(found: DataFrame, query: str) -> DataFrame:
     return found.withColumn("score", F.when(boost > 0, F.least(F.col("score") + boost, F.lit(1.0))).otherwise(F.col("score")))
 
 
-def search(nodes: DataFrame, query: str, limit: int = 20, mode: str = "text", **filters) -> DataFrame:
-    """Search as a user does: mode text, exact or substring. Text tries all words, then any, then parts of names."""
+def search(nodes: DataFrame, query: str, limit: int = 20, mode: str = "text", index: tuple[DataFrame, DataFrame] | None = None, **filters) -> DataFrame:
+    """Search as a user does: mode text, exact or substring. Text tries all words, then any, then parts of names. index: a
+    stored (inverted(), index_totals()) of the nodes."""
     ok = matching(**filters)
     words = query.split()
     if mode == "exact":
@@ -119,9 +159,9 @@ def search(nodes: DataFrame, query: str, limit: int = 20, mode: str = "text", **
         return substring(nodes.where(ok), words or [""], limit)
     cols = nodes.columns
     if all(len(w) > 2 for w in words):
-        first = full_text(nodes, words, limit, where=ok).select(*cols, "rank", "score")
+        first = full_text(nodes, words, limit, where=ok, index=index).select(*cols, "rank", "score")
         if first.count() < max(limit // 2, 2):  # limit rows at most
-            more = any_word(nodes, words, limit, ok).select(*cols, "rank", "score").join(first.select("id"), "id", "left_anti").select(*cols, "rank", "score")
+            more = any_word(nodes, words, limit, ok, index).select(*cols, "rank", "score").join(first.select("id"), "id", "left_anti").select(*cols, "rank", "score")
             first = first.unionByName(more)
         got = boosted(first, query).orderBy("rank", "id").limit(limit)
         if not got.isEmpty():

@@ -605,6 +605,14 @@ def q_sch_documents_bm25(g):
     return _rounded(search.bm25(g.table("documents").select("doc_id", "text"), ["text"], DOC_WORDS).select("doc_id", "rank"), "rank")
 
 
+@query("", "WITH " + _bm25_sql("documents", "doc_id", ["text"], DOC_WORDS, "OR").removeprefix(", ") + "SELECT doc_id, round(rank, 6) AS rank FROM ranked")
+def q_sch_indexed_bm25(g):
+    """From a stored inverted index, of which a question reads the entries of its terms."""
+    made = search.inverted(g.table("documents"), "doc_id", ("text",)).repartitionByRange("term", "doc_id").sortWithinPartitions("term")
+    index = stored(made, "index")
+    return _rounded(search.indexed_bm25(index, stored(search.index_totals(index, "doc_id"), "totals"), "doc_id", DOC_WORDS, False), "rank")
+
+
 @query("", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY ALL")
 def q_sch_postings(g):
     return search.postings(g.table("documents"), "doc_id", "text")

@@ -187,6 +187,12 @@ def _block_end(lines: list[str], i: int, style: str) -> int:
     return len(lines) - 1
 
 
+def _docstring(lines: list[str], i: int) -> str | None:
+    """What the lines after a header of one line say about it."""
+    m = re.match(r"\s*[rR]?(\"{3}|'{3})(.*?)(?:\1|\Z)", "\n".join(lines[i + 1 : i + 200]), re.S)
+    return "\n".join(x.strip() for x in m[2].strip().split("\n")) if m else None
+
+
 def by_lines(path: str, language: str, text: str, spec: LanguageSpec) -> list[dict]:
     """Rows of a file by its language's line rules."""
     sink, lines = Sink(path, language, text), text.split("\n")
@@ -194,9 +200,12 @@ def by_lines(path: str, language: str, text: str, spec: LanguageSpec) -> list[di
     functions, imports, variables = ([re.compile(p) for p in ps] for ps in (spec.functions, spec.imports, spec.variables))
     call = _RUBY_CALL if language == "ruby" else _CALL
     scopes: list[tuple[int, str, str]] = []  # (last line, id, class name or empty)
-    block = False
+    block, decorators = False, []
     for i, line in enumerate(lines):
         bare = line.strip()
+        if language == "python" and (m := re.match(r"@([\w.]+)", bare)):
+            decorators.append((m[1], i + 1))
+            continue
         if block or bare.startswith("/*"):
             block = "*/" not in bare
             continue
@@ -211,7 +220,10 @@ def by_lines(path: str, language: str, text: str, spec: LanguageSpec) -> list[di
         if got:
             m, kind = got
             end = _block_end(lines, i, spec.blocks) if kind != "type_alias" else i
-            ident = sink.node(kind, m["name"], m["name"], i + 1, end + 1, owner, exported=exported(m["name"]))
+            ident = sink.node(kind, m["name"], m["name"], i + 1, end + 1, owner, exported=exported(m["name"]), doc=_docstring(lines, i) if language == "python" else None)
+            for name, at in decorators:
+                sink.ref(ident, name, "decorates", at)
+            decorators = []
             groups = m.groupdict()
             for key, rel in (("bases", "extends"), ("ifaces", "implements")):
                 for b in (groups.get(key) or "").split(","):
@@ -234,7 +246,10 @@ def by_lines(path: str, language: str, text: str, spec: LanguageSpec) -> list[di
             home = home or klass
             end = _block_end(lines, i, spec.blocks)
             kind, own = ("method", f"{home}.{m['name']}") if home else ("function", m["name"])
-            ident = sink.node(kind, m["name"], own, i + 1, end + 1, owner, exported=exported(m["name"]), signature=bare[:200], is_async="async " in line, is_static="static " in line)
+            ident = sink.node(kind, m["name"], own, i + 1, end + 1, owner, exported=exported(m["name"]), signature=bare[:200], is_async="async " in line, is_static="static " in line or any(n == "staticmethod" for n, _ in decorators), doc=_docstring(lines, i) if language == "python" else None)
+            for name, at in decorators:
+                sink.ref(ident, name, "decorates", at)
+            decorators = []
             scopes.append((end, ident, ""))
             owner, declared = ident, m
         elif not scopes:

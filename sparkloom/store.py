@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.errors import NotInitialized, UnsafeRoot
-from sparkloom.operators import mutations, resolve
+from sparkloom.operators import mutations, resolve, search
 from sparkloom.session import stored
 from sparkloom.sources import extract, scan
 
 #: Raised when extraction changes, so that older graphs count as stale.
-EXTRACTION_VERSION = 1
+EXTRACTION_VERSION = 2
 TABLES = ("nodes", "edges", "refs", "files")
 
 
@@ -93,12 +93,20 @@ class GraphStore:
     refs = property(lambda self: self.table("refs"))
     files = property(lambda self: self.table("files"))
 
+    @property
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """The inverted index of the symbols, sorted by term, and its totals."""
+        return self.table("postings"), self.table("totals")
+
     def commit(self, nodes: DataFrame, edges: DataFrame, refs: DataFrame, files: DataFrame, **about) -> None:
         number, name = self.metadata().get("number", 0) + 1, uuid.uuid4().hex
         base = f"{self.folder}/versions/{name}"
         nodes.repartitionByRange("file_path", "start_line").sortWithinPartitions("file_path", "start_line").write.parquet(f"{base}/nodes")
         edges.repartitionByRange("source", "target").sortWithinPartitions("source", "kind").write.parquet(f"{base}/edges")
         self.spark.read.schema(edges.schema).parquet(f"{base}/edges").repartitionByRange("target", "source").sortWithinPartitions("target", "kind").write.parquet(f"{base}/edges_in")
+        postings = search.inverted(self.spark.read.schema(nodes.schema).parquet(f"{base}/nodes"), "id")
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{base}/postings")
+        search.index_totals(self.spark.read.schema(postings.schema).parquet(f"{base}/postings"), "id").write.parquet(f"{base}/totals")
         refs.write.parquet(f"{base}/refs")
         files.write.parquet(f"{base}/files")
         self._mark(number, {"number": number, "name": name, "indexed_at": int(time.time() * 1000), "extraction_version": EXTRACTION_VERSION, "values": self.metadata().get("values", {}), **about})

@@ -60,7 +60,7 @@ def test_bad_rules_are_refused(bad):
         S.parse(bad)
 
 
-GLUE = PIECES + ["a", "_", "DB_", "my_", "\\n", "id-", "token: ", "api_key=", "p@ssw0rd!", "eyJ", "AKIA", "AIza", "xoxb-"]
+GLUE = PIECES + ["DB_PASSWORD=hunter22x", "AWS_SECRET=" + "ab12" * 5, "glpat-" + "a1" * 10, "npm_" + "Z9" * 18, "SG." + "ab" * 11 + "." + "c" * 43, "https://hooks.slack.com/services/T00000000/B00000000/" + "x1" * 12, "AccountKey=" + "ab/+" * 20 + "==", "a", "_", "DB_", "my_", "\\n", "id-", "token: ", "api_key=", "p@ssw0rd!", "eyJ", "AKIA", "AIza", "xoxb-"]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -81,3 +81,14 @@ def test_common_forms(make, rule, text):
 
 def test_failed_attempts_are_linear(make):
     assert S.find_secrets(make((1, "eyJ" * 100_000))).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_texts_in_several_lanes(seed, monkeypatch):
+    monkeypatch.setattr(S, "LANE_BYTES", 16)
+    r = random.Random(seed)
+    texts = ["".join(r.choice(GLUE) for _ in range(r.choice([0, 1, 3, 200]))) for _ in range(40)]
+    raw, offsets = string_buffers(pa.array(texts), lower=False)
+    names = list(S.RULES)
+    want = sorted((d, names.index(k), *m.span()) for d, t in enumerate(texts) for k, rule in S.RULES.items() for m in re.finditer(rule.encode(), t.encode()))
+    assert S.Scanner(S.RULES, frozenset()).scan(raw, offsets) == want and want

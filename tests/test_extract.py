@@ -74,6 +74,14 @@ def test_languages_by_their_rules(path, lang, text, want, rel, calls):
     assert calls <= refs(rows, "call")
 
 
+def test_broken_python_keeps_decorators_and_docstrings():
+    text = 'class A:\n    """What A is."""\n    @staticmethod\n    @reg.add(1)\n    def f(x):\n        \'\'\'Does f.\n        Well.\'\'\'\n        g(1)\n\ndef h(:\n'
+    rows = parse("x.py", "python", text)
+    by = {r["name"]: r for r in rows if r["rec"] == "node"}
+    assert by["A"]["docstring"] == "What A is." and by["f"]["docstring"] == "Does f.\nWell." and by["f"]["is_static"] and by["h"]["docstring"] is None
+    assert refs(rows, "decorates") == {"staticmethod", "reg.add"}
+
+
 def test_other_languages_give_the_file_alone():
     assert nodes(parse("a.yaml", "yaml", "a: 1\n")) == {("file", "a.yaml")}
     assert nodes(parse("e.py", "python", "")) == {("file", "e.py")} == {("file", "e.py")}
