@@ -122,28 +122,34 @@ class Model:
         self.bounds()
         return self
 
+    def gates(self, name: str) -> np.ndarray:
+        """The weights w or u, or their bias b, by gate: r, z and the candidate, each in one piece."""
+        a = getattr(self, name)
+        return np.ascontiguousarray(a.reshape(-1, 3, UNITS).transpose(1, 0, 2))
+
     def given(self, ids: np.ndarray) -> np.ndarray:
-        """What words put into the gates and the candidate."""
-        return self.e[ids] @ self.w + self.b
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, gates r and z, candidate, its recurrent part); x is what given() says."""
-        n = UNITS
-        hu = h @ self.u
-        rz = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
-        c = rz[:, :n] * hu[:, 2 * n :]
-        c += x[:, 2 * n :]
+        """What words put into the gates and the candidate, by gate."""
+        x = np.matmul(self.e[ids], self.gates("w"))
+        x += self.gates("b")
+        return x
+
+    def step(self, x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(new state, gates r and z, candidate, its recurrent part); x is what given() says, u the recurrent weights by gate."""
+        hu = np.matmul(h, u)
+        rz = _sigmoid(x[:2] + hu[:2])
+        c = rz[0] * hu[2]
+        c += x[2]
         np.tanh(c, out=c)
         new = h - c
-        new *= rz[:, n:]
+        new *= rz[1]
         new += c
-        return new, rz, c, hu[:, 2 * n :]
+        return new, rz, c, hu[2]
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: bool = False):
         """Log-likelihood of each target given its state; with grad also the gradient of the sum for h, and adds up self.d."""
         voc, n = self.voc, len(h)
         cls = voc.cls[target]
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
         h, target, cls = h[order], target[order], cls[order]
         edge = np.searchsorted(cls, np.arange(len(voc.size) + 1))
         k = np.arange(n)
@@ -197,48 +203,68 @@ class Trainer:
         words, lanes = given.shape
         m.d = {k: np.zeros_like(getattr(m, k)) for k in Model.NAMES if k != "e"}
         at = given.ravel()
-        e = m.e[at]
-        x = (e @ m.w + m.b).reshape(words, lanes, 3 * n)
+        e, w, u = m.e[at], m.gates("w"), m.gates("u")
+        x = np.matmul(e, w)
+        x += m.gates("b")
+        x = x.reshape(3, words, lanes, n)
         live = (~fresh).astype(h.dtype)[:, :, None]
         resets = fresh.any(1)
         shape = (words, lanes, n)
-        out, prev, c, hu, rz = np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty((words, lanes, 2 * n), h.dtype)
+        out, prev, c, hu, rz = np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty(shape, h.dtype), np.empty((2, *shape), h.dtype)
         for t in range(words):
             if resets[t]:
                 h = h * live[t]
             prev[t] = h
-            out[t], rz[t], c[t], hu[t] = m.step(x[t], h)
-            h = out[t]
-        on = np.nonzero(target >= 0)
-        ll, dh = m.output(out[on], target[on], True)
-        dout = np.zeros_like(out)
-        dout[on] = dh
+            h, rz[:, t], c[t], hu[t] = m.step(x[:, t], h, u)
+            out[t] = h
+        on = np.flatnonzero(target >= 0)
+        if len(on) == target.size:
+            ll, dout = m.output(out.reshape(-1, n), target.ravel(), True)
+        else:
+            ll, dh = m.output(out.reshape(-1, n)[on], target.ravel()[on], True)
+            dout = np.zeros((target.size, n), out.dtype)
+            dout[on] = dh
+        dout = dout.reshape(shape)
         back = np.zeros_like(h)
-        r, z = rz[..., :n], rz[..., n:]
-        to_c, to_r, to_z = (1 - z) * (1 - c * c), hu * r * (1 - r), (prev - c) * z * (1 - z)
-        gx = np.empty((words, lanes, 3 * n), c.dtype)
-        gh = np.empty_like(gx)
-        u = np.ascontiguousarray(m.u.T)
+        r, z = rz
+        keep = 1 - z
+        to_z = prev - c
+        to_z *= z
+        to_z *= keep
+        to_c = c * c
+        np.subtract(1, to_c, out=to_c)
+        to_c *= keep
+        to_r = 1 - r
+        to_r *= r
+        to_r *= hu
+        g = np.empty((4, *shape), c.dtype)  # for r, z, the candidate and its recurrent part
+        back_u = np.ascontiguousarray(u.transpose(0, 2, 1))
         for t in range(words - 1, -1, -1):
-            dh_ = back + dout[t]
-            dc = np.multiply(dh_, to_c[t], out=gx[t, :, 2 * n :])
-            np.multiply(dc, to_r[t], out=gh[t, :, :n])
-            np.multiply(dh_, to_z[t], out=gh[t, :, n : 2 * n])
-            np.multiply(dc, r[t], out=gh[t, :, 2 * n :])
-            back = gh[t] @ u
-            back += np.multiply(dh_, z[t], out=dh_)
+            back += dout[t]
+            dc = np.multiply(back, to_c[t], out=g[2, t])
+            np.multiply(dc, to_r[t], out=g[0, t])
+            np.multiply(back, to_z[t], out=g[1, t])
+            np.multiply(dc, r[t], out=g[3, t])
+            back *= z[t]
+            for k, j in enumerate((0, 1, 3)):
+                back += g[j, t] @ back_u[k]
             if resets[t]:
                 back *= live[t]
-        gx[..., : 2 * n] = gh[..., : 2 * n]
-        flat = gx.reshape(-1, 3 * n)
-        m.d["u"] += prev.reshape(-1, n).T @ gh.reshape(-1, 3 * n)
-        m.d["w"] += e.T @ flat
-        m.d["b"] += flat.sum(0)
-        order = np.argsort(at, kind="stable")
+        g = g.reshape(4, -1, n)
+        one, flat = np.ones(g.shape[1], g.dtype), prev.reshape(-1, n).T
+        d_in = g[0] @ w[0].T
+        for k, j in enumerate((0, 1, 3)):
+            part = slice(k * n, (k + 1) * n)
+            m.d["u"][:, part] = flat @ g[j]
+            m.d["w"][:, part] = e.T @ g[k]
+            m.d["b"][part] = one @ g[k]
+            if k:
+                d_in += g[k] @ w[k].T
+        order = np.argsort(at.astype(np.uint16) if len(m.e) < 1 << 16 else at, kind="stable")
         rows = at[order]
         cut = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         touched = rows[cut]
-        self.d_e = touched, np.add.reduceat((flat @ m.w.T)[order], cut, 0)
+        self.d_e = touched, np.add.reduceat(d_in[order], cut, 0)
         scale = 16 / max(FEWEST, len(ll))
         g = self.d_e[1] * scale
         self.sum["e"][touched] += g * g
@@ -246,11 +272,13 @@ class Trainer:
         for k, g in m.d.items():
             g = g * scale
             np.clip(g, -5, 5, out=g)
-            s = self.sum[k]
-            s += g * g
-            g /= np.sqrt(s)
+            s, root = self.sum[k], g * g
+            s += root
+            np.sqrt(s, out=root)
+            g /= root
             g *= self.rate
-            setattr(m, k, getattr(m, k) + g)
+            a = getattr(m, k)
+            a += g
         m.bounds()
         return h, float(ll.sum())
 
@@ -325,11 +353,12 @@ def log_likelihoods(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int
     packed = Packed(ids, first, lanes, len(model.voc.freq))
     before, fresh = packed.before, packed.fresh
     h, a = np.zeros((int(before[1]) if len(before) > 1 else 0, UNITS), np.float32), 0
+    u, table = model.gates("u"), model.given(np.arange(len(model.e)))
     while a < len(before) - 1:
         b = min(max(a + 1, int(np.searchsorted(before, before[a] + SCORE_ROWS, "right")) - 1), len(before) - 1)
         x = slice(int(before[a]), int(before[b]))
-        into = model.given(packed.given[x])
-        states = np.empty((len(into), UNITS), np.float32)
+        into = np.take(table, packed.given[x], 1)
+        states = np.empty((into.shape[1], UNITS), np.float32)
         edges = (before[a : b + 1] - before[a]).tolist()
         new = np.flatnonzero(fresh[x])
         for i, j in zip(edges, edges[1:]):
@@ -339,7 +368,7 @@ def log_likelihoods(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int
                 h = h.copy()
                 h[new[:k] - i] = 0
                 new = new[k:]
-            h = states[i:j] = model.step(into[i:j], h)[0]
+            h = states[i:j] = model.step(into[:, i:j], h, u)[0]
         ll = model.output(states, packed.ids[x])
         out += np.bincount(packed.doc[x], ll, len(out))
         a = b
@@ -349,10 +378,12 @@ def log_likelihoods(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int
 # ---- over a table ----
 
 
-def _encoded(voc: Vocabulary, raw: np.ndarray, offsets: np.ndarray):
-    """(ids, first word of each document, spelling log-likelihood of each document's unknown words)."""
+def _encoded(voc: Vocabulary, raw: np.ndarray, offsets: np.ndarray, spell: bool = True):
+    """(ids, first word of each document, spelling log-likelihood of each document's unknown words: None unless asked for)."""
     h, starts, ends, first = words_of(raw, offsets)
     ids = voc.of(h)
+    if not spell:
+        return ids, first, None
     cost = np.concatenate([[0], np.cumsum(voc.spell[raw])])
     unknown = np.where(ids == 0, cost[ends] - cost[starts] + voc.end, 0) if len(ids) else np.zeros(0)
     upto = np.concatenate([[0], np.cumsum(unknown)])
@@ -442,7 +473,7 @@ def trained(docs: DataFrame, voc: Vocabulary) -> Model:
             for batch in batches:
                 raw, offsets = string_buffers(batch.column(0))
                 for a, b in doc_chunks(offsets):
-                    parts.append(_encoded(voc, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:2])
+                    parts.append(_encoded(voc, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], False)[:2])
                 if sum(len(p[0]) for p in parts) > TRAIN_WORDS:
                     n += learn()
             if parts:
