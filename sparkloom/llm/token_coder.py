@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,29 +65,25 @@ class Tokenizer:
         for piece, k in ranks.items():
             text[k] = piece
         self.text = np.frombuffer(b"".join(text), np.uint8)  # the bytes of every id
-        self.size = np.array([len(x) for x in text])
-        self.at = np.cumsum(self.size) - self.size
+        self.size = np.array([len(x) for x in text], np.int32)
+        self.at = np.cumsum(self.size, dtype=np.int32) - self.size
         self.one = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(1, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # sorted; their ids are many[k] from begin[k]
+        self.begin, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         got = [self.one.encode_ordinary(p) for p in pieces]
-        size = np.diff(self.begin)
-        new = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for g in got for x in g), np.int32, int(new.sum()))
-        keys = np.concatenate([self.keys, keys])
-        begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(new) - new])
-        size = np.concatenate([size, new])
-        ids = np.concatenate([self.ids, flat])
-        order = np.argsort(keys)
-        self.keys, size, begin = keys[order], size[order], begin[order]
-        self.ids = ids[_ranges(begin, size)]
-        self.begin = np.concatenate([[0], np.cumsum(size)])
+        many = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(many.sum()))
+        to = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, to, keys)
+        self.begin = np.insert(self.begin, to, len(self.ids) + np.cumsum(many) - many)
+        self.many = np.insert(self.many, to, many)
+        self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids before each document and in all)."""
@@ -117,15 +114,22 @@ class Tokenizer:
             data, some = raw.tobytes(), some[fresh]
             self._learn(distinct[fresh], [data[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())])
         at = np.searchsorted(self.keys, distinct)[which]
-        size = np.diff(self.begin)[at]
+        size = self.many[at]
         ids = self.ids[_ranges(self.begin[at], size)]
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
         return (ids, upto) if self.spells(ids, raw) else self._mended(ids, upto, raw, offsets)
 
     def spells(self, ids: np.ndarray, raw: np.ndarray) -> bool:
         """Whether the ids are those bytes."""
-        size = self.size[ids]
-        return int(size.sum()) == len(raw) and bool((self.text[_ranges(self.at[ids], size)] == raw).all())
+        step = 1 << 22  # ids at once, whose places are then 32-bit integers
+        place = 0
+        for a in range(0, len(ids), step):
+            size = self.size[ids[a : a + step]]
+            got = self.text[_ranges(self.at[ids[a : a + step]], size)]
+            if not np.array_equal(got, raw[place : place + len(got)]):
+                return False
+            place += len(got)
+        return place == len(raw)
 
     def _mended(self, ids: np.ndarray, upto: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = []
@@ -137,8 +141,10 @@ class Tokenizer:
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, .., of size[0], then those of the next."""
-    upto = np.cumsum(size)
-    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - upto + size, size)
+    upto = np.cumsum(size, dtype=size.dtype)
+    out = np.arange(upto[-1] if len(upto) else 0, dtype=size.dtype)
+    out += np.repeat(begin - upto + size, size)
+    return out
 
 
 # ---- models ----
