@@ -1,5 +1,5 @@
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +160,59 @@ def test_risk(spark):
     rows = [("h", f"x{i}", "calls", 1) for i in range(10)] + [("m", "x0", "calls", 1), ("m", "x1", "calls", 1), ("m", "x2", "calls", 1)]
     got = {r.id: r.risk for r in graph.risk(as_edges(spark, rows)).where(F.col("id").isin("h", "m", "x9")).collect()}
     assert got == {"h": "high", "m": "medium", "x9": "low"}
+
+
+def named_graph(spark, seed):
+    """Nodes, edges and references in which few names stand for many symbols, special methods and imports among them."""
+    r = random.Random(seed)
+    names = ["f", "g", "h", "__len__"]
+    nodes = as_nodes(spark, *((r.choice(["function", "import", "method"]), n, None, f"{p}{n}.py", i, True) for p in "abcdefgh" for i, n in enumerate(names)))
+    ids = [x.id for x in nodes.collect()]
+    edges = as_edges(spark, [(r.choice(ids), r.choice(ids), r.choice(["calls", "references", "imports"]), i) for i in range(60)])
+    file = {x.id: x.file_path for x in nodes.collect()}
+    at = [r.choice(ids) for _ in range(80)]
+    refs = spark.createDataFrame([(i, r.choice(["", "", "x."]) + r.choice(names), "call", 1, file[i]) for i in at], "from_node_id string, reference_name string, reference_kind string, line int, file_path string")
+    return nodes, edges, refs
+
+
+def brute_pairs(nodes, edges, refs):
+    nodes, edges, refs = ([*df.collect()] for df in (nodes, edges, refs))
+    direct = {(e.source, e.target) for e in edges if e.kind in ("calls", "references")}
+    named, plain = set(), set()
+    for x in refs:
+        for n in nodes:
+            if n.name in (x.reference_name, x.reference_name.split(".")[-1]) and (n.name != "__len__" or n.file_path == x.file_path):
+                named.add((x.from_node_id, n.id))
+            if n.name == x.reference_name:
+                plain.add((x.from_node_id, n.id))
+    meant = {n.id: min(((d.file_path, d.start_line, d.id) for d in nodes if n.kind == "import" and d.kind != "import" and d.name == n.name and d.file_path != n.file_path), default=(n.id,))[-1] for n in nodes}
+    callers = {(n.id, a, "edge" if (a, b) in direct else "name") for n in nodes for a, b in direct | named if b == meant[n.id] and a not in (n.id, b)}
+    return callers, {(a, b, "edge" if (a, b) in direct else "name") for a, b in direct | plain if a != b}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_common_names(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "LEFT_BLOCK", 3)
+    monkeypatch.setattr(graph, "RIGHT_BLOCK", 2)
+    tables = named_graph(spark, seed)
+    want = brute_pairs(*tables)
+    few = tables[0].select("id").orderBy("id").limit(9)
+    some = {x.id for x in few.collect()}
+    for found, asked in ((graph.callers, want[0]), (graph.callees, want[1])):
+        assert sorted(map(tuple, found(*tables).collect())) == sorted(asked)
+        assert sorted(map(tuple, found(*tables, few).collect())) == sorted(x for x in asked if x[0] in some)
+
+
+def test_pairs_of_a_name_are_not_shuffled(spark):
+    """Before, all pairs went through an exchange, which filled the disks."""
+    for found in (graph.callers, graph.callees):
+        plan = found(*named_graph(spark, 3))._jdf.queryExecution().executedPlan().toString()
+        above = plan.split("Generate explode(rs")[0]
+        assert above != plan and "Exchange hashpartitioning" not in above.split("BroadcastExchange")[0]
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_counts_without_pairs(spark, seed):
+    tables = named_graph(spark, seed)
+    for counts, want in zip((graph.caller_counts, graph.callee_counts), brute_pairs(*tables)):
+        assert {r.id: r[1] for r in counts(*tables).collect()} == dict(Counter(x[0] for x in want))
