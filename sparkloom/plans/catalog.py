@@ -698,10 +698,9 @@ FROM (SELECT id FROM ranked ORDER BY round(rank, 9), id LIMIT 1000000) JOIN g_no
 def q_explore(g):
     found = stored(search.full_text(g.nodes, WORDS, 1000000).select("id"), "found")
     got = context.explore(g.nodes.join(found, "id", "left_semi"), g.edges, g.refs, "red ring", 1 << 20).select("id", "name")
-    near = lambda df, col, name: df.groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias(name))
     got = stored(got, "explored")
     ids = got.select("id")
-    got = got.join(near(graph.callers(g.nodes, g.edges, g.refs, ids), "target", "n_callers"), "id", "left").join(near(graph.callees(g.nodes, g.edges, g.refs, ids), "source", "n_callees"), "id", "left")
+    got = got.join(graph.caller_counts(g.nodes, g.edges, g.refs, ids), "id", "left").join(graph.callee_counts(g.nodes, g.edges, g.refs, ids), "id", "left")
     return got.select("id", "name", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_callers", "n_callees")))
 
 

@@ -14,10 +14,9 @@ MORE = "\n... (cut)"
 def explore(nodes: DataFrame, edges: DataFrame, refs: DataFrame, query: str, limit: int = 20, edges_in: DataFrame | None = None, **filters) -> DataFrame:
     """(id, name, score, n_callers, n_callees) of the found symbols."""
     found = stored(search.search(nodes, query, limit, **filters), "found")
-    near = lambda df, col, name: df.join(found.select(F.col("id").alias(col)), col, "left_semi").groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias(name))
     ids = found.select("id")
-    got = found.select("id", "name", "score").join(near(graph.callers(nodes, edges if edges_in is None else edges_in, refs, ids), "target", "n_callers"), "id", "left")
-    got = got.join(near(graph.callees(nodes, edges, refs, ids), "source", "n_callees"), "id", "left")
+    got = found.select("id", "name", "score").join(graph.caller_counts(nodes, edges if edges_in is None else edges_in, refs, ids), "id", "left")
+    got = got.join(graph.callee_counts(nodes, edges, refs, ids), "id", "left")
     return got.select("id", "name", "score", F.coalesce("n_callers", F.lit(0)).cast("long").alias("n_callers"), F.coalesce("n_callees", F.lit(0)).cast("long").alias("n_callees"))
 
 
