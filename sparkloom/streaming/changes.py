@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window as W
 
 from sparkloom.session import scratch
@@ -44,21 +40,9 @@ def debounced_stream(changes: DataFrame, seconds: float = 2.0, late: str = "1 mi
 
 
 def newest_stream(changes: DataFrame) -> DataFrame:
-    """(path, ts, change_type, n_changes) each time a path's state moves on; what is older than the applied version is only counted."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, event, kind, n = state.get if state.exists else (pd.Timestamp.min, -1, "", 0)
-        before = (at, event)
-        for pdf in frames:
-            n += len(pdf)
-            top = pdf.sort_values(["ts", "event_id"]).iloc[-1]
-            if (top.ts, top.event_id) > (at, event):
-                at, event, kind = top.ts, int(top.event_id), top.change_type
-        state.update((at, event, kind, n))
-        if (at, event) != before:
-            yield pd.DataFrame({"path": [key[0]], "ts": [at], "change_type": [kind], "n_changes": [n]})
-
-    return changes.groupBy("path").applyInPandasWithState(step, "path string, ts timestamp_ntz, change_type string, n_changes long", "ts timestamp_ntz, event_id long, change_type string, n long", "update", GroupStateTimeout.NoTimeout)
+    """(path, ts, change_type, n_changes) of every path that a batch has changes of; what is older than the newest version is only
+    counted. A path's state is one row of an aggregate, made without Python, so that many paths of few changes cost little."""
+    return latest(changes)
 
 
 def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -72,8 +56,15 @@ def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/table/batch={batch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # state on the executors' disks: the default keeps every key in the heap
+    provider, conf = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, provider)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/table")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):

@@ -38,3 +38,13 @@ def test_session_windows(spark, tmp_path):
 def test_empty_feed(spark, tmp_path):
     feed(spark, []).write.parquet(f"{tmp_path}/feed")
     assert C.drain(C.newest_stream(C.read_feed(spark, f"{tmp_path}/feed"))).count() == 0
+
+
+def test_newest_state_counts_late_changes_without_python(spark, tmp_path):
+    """Before, a batch of older changes alone left n_changes behind, and each path was a call of Python."""
+    for rows in ([(1, 10, "a/x", "added")], [(2, 5, "a/x", "removed"), (3, 5, "b/y", "added")]):
+        feed(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    stream = C.newest_stream(spark.readStream.schema(C.CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed"))
+    assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString()
+    last = {r.path: (r.ts, r.change_type, r.n_changes) for r in sorted(C.drain(stream).collect(), key=lambda r: r.batch)}
+    assert last == {"a/x": (T0 + timedelta(seconds=10), "added", 2), "b/y": (T0 + timedelta(seconds=5), "added", 1)}
