@@ -820,7 +820,7 @@ def q_ext_calls(g):
 def q_ext_routes(g):
     text = F.concat(F.lit("from flask import Flask\napp = Flask('a')\n@app.route('/"), F.translate("p_name", " ", "/"), F.lit("')\ndef view_"), F.col("p_partkey").cast("string"), F.lit("():\n    return 1\n"))
     src = g.table("part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("python").alias("language"), text.alias("text"))
-    rows = stored(extract.extract(src), "routes")
+    rows = stored(extract.extract(src).where("kind IN ('route', 'function_ref')"), "routes")
     route = rows.where("rec = 'node' AND kind = 'route'").select("id", F.col("file_path").cast("long").alias("pk"), F.col("name").alias("url"), F.col("signature").alias("methods"))
     return route.join(rows.where("rec = 'ref' AND kind = 'function_ref'").select(F.col("source").alias("id"), F.col("name").alias("handler")), "id").select("pk", "url", "methods", "handler")
 
@@ -830,10 +830,10 @@ def q_ext_page_links(g):
     return extract.page_links(g.table("pages"))
 
 
-def _made(g: Derived, path, language: str, text) -> DataFrame:
-    """Rows of one made-up source file for each part."""
+def _made(g: Derived, path, language: str, text, keep: str = "kind IN ('route', 'function_ref')") -> DataFrame:
+    """Rows of one made-up source file for each part, those that are asked for."""
     src = g.table("part").select(path.alias("path"), F.lit(language).alias("language"), text.alias("text"))
-    return stored(extract.extract(src), "made")
+    return stored(extract.extract(src).where(keep), "made")
 
 
 PK = lambda: F.col("p_partkey").cast("string")
@@ -843,7 +843,7 @@ _pk = lambda: F.split("file_path", "/")[0].cast("long").alias("pk")  # noqa: E73
 @query("", "SELECT p_partkey AS pk, unnest(['Base' || p_partkey % 7, 'mod.Other']) AS base FROM part")
 def q_ext_bases(g):
     text = F.concat(F.lit("class A"), PK(), F.lit("(Base"), (F.col("p_partkey") % 7).cast("string"), F.lit(", mod.Other):\n    pass\n"))
-    return _made(g, PK(), "python", text).where("rec = 'ref' AND kind = 'extends'").select(_pk(), F.col("name").alias("base"))
+    return _made(g, PK(), "python", text, "rec = 'ref' AND kind = 'extends'").select(_pk(), F.col("name").alias("base"))
 
 
 @query("", """SELECT p_partkey AS pk, x.kind AS kind, x.name || p_partkey AS name FROM part, unnest([{'kind': 'interface', 'name': 'I'}, {'kind': 'enum', 'name': 'E'}, {'kind': 'type_alias', 'name': 'T'}]) AS u(x)
@@ -851,8 +851,9 @@ UNION ALL SELECT p_partkey, 'struct', 'S' || p_partkey FROM part""")
 def q_ext_types(g):
     ts = F.concat(F.lit("export interface I"), PK(), F.lit(" extends J {}\nenum E"), PK(), F.lit(" { P }\ntype T"), PK(), F.lit(" = string;\n"))
     rust = F.concat(F.lit("pub struct S"), PK(), F.lit(" {\n}\n"))
-    both = _made(g, F.concat(PK(), F.lit("/a.ts")), "typescript", ts).unionByName(_made(g, F.concat(PK(), F.lit("/a.rs")), "rust", rust))
-    return both.where("rec = 'node' AND kind <> 'file'").select(_pk(), "kind", "name")
+    keep = "rec = 'node' AND kind <> 'file'"
+    both = _made(g, F.concat(PK(), F.lit("/a.ts")), "typescript", ts, keep).unionByName(_made(g, F.concat(PK(), F.lit("/a.rs")), "rust", rust, keep))
+    return both.select(_pk(), "kind", "name")
 
 
 @query("", """SELECT p_partkey AS pk, x.kind AS kind, replace(x.name, '#', CAST(p_partkey AS VARCHAR)) AS name, x.e AS is_exported
@@ -860,7 +861,7 @@ FROM part, unnest([{'kind': 'constant', 'name': 'LIMIT_#', 'e': true}, {'kind':
 def q_ext_variables(g):
     """Module level only: no dunder names, none of classes or functions."""
     text = F.concat(F.lit("LIMIT_"), PK(), F.lit(" = 1\nplain"), PK(), F.lit(" = 2\n__all__ = 3\nclass C:\n    inner = 4\ndef f():\n    local = 5\n_hidden"), PK(), F.lit(" = 6\n"))
-    return _made(g, PK(), "python", text).where("rec = 'node' AND kind IN ('variable', 'constant')").select(_pk(), "kind", "name", "is_exported")
+    return _made(g, PK(), "python", text, "rec = 'node' AND kind IN ('variable', 'constant')").select(_pk(), "kind", "name", "is_exported")
 
 
 def _routes(rows: DataFrame) -> DataFrame:

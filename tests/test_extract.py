@@ -110,3 +110,22 @@ def test_routes():
 def test_unicode_and_many_functions():
     rows = parse("u.py", "python", "def größe(): pass\n" + "".join(f"def f{i}(): return f{i - 1}()\n" for i in range(502)))
     assert len(nodes(rows, "function")) == 503 and ("function", "größe") in nodes(rows)
+
+
+def test_files_are_spread_and_rows_leave_in_chunks(spark, monkeypatch):
+    """Before, a table read as one task was parsed by one, and the rows of a batch of files were held together."""
+    text = "".join(f"class C{i}(B):\n    def run(self):\n        return helper(self)\n" for i in range(40)) + "@app.route('/x')\ndef f(): pass\n"
+    df = spark.createDataFrame([(f"a{i}.py", "python", text) for i in range(8)], "path string, language string, text string").coalesce(1)
+    assert X.extract(df).rdd.getNumPartitions() > 4
+    whole = parse("a.py", "python", text)
+    monkeypatch.setattr(X, "LARGE", 100)
+    large = X.rows_of("a.py", "python", text)
+    assert not isinstance(large, list) and list(large) == whole and {r["kind"] for r in whole} >= {"route", "function_ref", "class", "method", "call", "extends"}
+    assert sum(1 for _ in X.extract(df).collect()) == 8 * len(whole)
+    deep = "x = " + "-" * 900 + "1\n"
+    assert parse("a.py", "python", "def f(): pass\n" + deep) == [*X.rows_of("a.py", "python", "def f(): pass\n" + deep)]
+
+
+def test_lines_of_routes():
+    text = "".join(f"@app.get('/{i}')\ndef f{i}(): pass\n" for i in range(30))
+    assert [r[4] for r in X.routes("a.py", text)] == [1 + 2 * i for i in range(30)]
