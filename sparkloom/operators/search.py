@@ -80,18 +80,38 @@ def _terms(word: str) -> list[str]:
     return re.findall(r"[^\W_]+", word.lower())
 
 
+def _runs(rows: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, len, term, tf, head) of the distinct terms of every row, counted within the row: runs of equal terms of the sorted
+    list. head is true for one of a row's; a row without terms has one row with a null term."""
+    cut = rows.select(key, F.sort_array(terms).alias("_t")).select(key, "_t", F.size("_t").alias("len"))
+    first = F.filter(F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    cut = cut.select(key, "_t", "len", first.alias("_f"))
+    runs = F.transform("_f", lambda i, j: F.struct(F.get("_t", i).alias("term"), (F.coalesce(F.get("_f", j + 1), F.col("len")) - i).cast("long").alias("tf"), (j == 0).alias("head")))
+    return cut.select(key, "len", F.inline(runs))
+
+
+def _unique(rows: DataFrame, key: str) -> bool:
+    """Whether no two rows have one key, so that counts within rows are whole."""
+    found = rows.select(key).groupBy(key).count().agg(F.max("count")).first()[0]
+    return (found or 0) <= 1
+
+
 def postings(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(term, key, tf): an inverted index, to be stored sorted by term where one corpus is asked often."""
-    return rows.select(key, F.explode(fn.tokens(F.col(column))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """(term, key, tf): an inverted index, to be stored sorted by term where one corpus is asked often. Only rows that share
+    their key are added up across tasks; otherwise nothing but the keys is shuffled."""
+    found = _runs(rows, key, fn.tokens(F.col(column))).where("term IS NOT NULL").select("term", key, "tf")
+    return found if _unique(rows, key) else found.groupBy("term", key).agg(F.sum("tf").alias("tf"))
 
 
 def inverted(rows: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """(term, key, tf, len): the inverted index of several columns at once, len the number of terms of a row in all; a row
-    without terms has one entry with a null term. To be stored sorted by term."""
+    """(term, key, tf, len, head): the inverted index of several columns at once, len the number of terms of a row in all, head
+    true for one entry of each key; a row without terms has one entry with a null term. To be stored sorted by term."""
     cols = [c for c in columns if c in rows.columns]
-    terms = rows.select(key, F.flatten(F.array(*(fn.tokens(F.col(c)) for c in cols))).alias("_t"))
-    each = terms.select(key, F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
-    return each.groupBy("term", key).agg(F.count("term").alias("tf"), F.first("len").alias("len"))
+    found = _runs(rows, key, F.flatten(F.array(*(fn.tokens(F.col(c)) for c in cols)))).select("term", key, "tf", "len", "head")
+    if _unique(rows, key):
+        return found
+    found = found.groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
+    return found.withColumn("head", F.row_number().over(W.partitionBy(key).orderBy("term")) == 1)
 
 
 def indexed_bm25(index: DataFrame, totals: DataFrame, key: str, words: list[str], require_all: bool = True) -> DataFrame:
@@ -113,7 +133,7 @@ def indexed_bm25(index: DataFrame, totals: DataFrame, key: str, words: list[str]
 
 def index_totals(index: DataFrame, key: str) -> DataFrame:
     """The one row that indexed_bm25 needs beside the index."""
-    per = index.groupBy(key).agg(F.first("len").alias("len"))
+    per = index.where("head") if "head" in index.columns else index.groupBy(key).agg(F.first("len").alias("len"))
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
 
 

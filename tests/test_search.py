@@ -85,3 +85,20 @@ def test_shown_values(spark):
     words = spark.createDataFrame([("class",), ("query",), ("key",), ("by",), ("file",)], "w string")
     assert [r[0] for r in words.select(display.plural(F.col("w"))).collect()] == ["classes", "queries", "keys", "bys", "files"]
     assert display.styled("x", "bold") == "\x1b[1mx\x1b[0m" and display.styled("x", "red", False) == "x"
+
+
+@pytest.mark.parametrize("more", [[], [(1, "b c b")]])
+def test_postings_are_counted_within_rows(spark, more):
+    """Before, every entry was shuffled; rows that share a key are still added up."""
+    rows = [(1, "b a B"), (2, ""), (3, None), (4, "é1 x_é1 a"), *more]
+    df = spark.createDataFrame(rows, "k long, t string")
+    want = {}
+    for k, t in rows:
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            want[w, k] = want.get((w, k), 0) + 1
+    found = search.postings(df, "k", "t")
+    assert sorted(map(tuple, found.collect())) == sorted((w, k, n) for (w, k), n in want.items())
+    assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == bool(more)
+    index = search.inverted(df, "k", ("t",))
+    assert {(r.term, r.k): r.tf for r in index.collect() if r.term} == want and {r.k for r in index.where("term IS NULL").collect()} == {2, 3}
+    assert search.index_totals(index, "k").first().n == 4 and index.where("head").count() == 4
